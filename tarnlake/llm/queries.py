@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import logparse
 from ..session import table
-from . import leakage, runs, termfreq, topk
+from . import leakage, mixing, quality, runs, termfreq, topk
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -59,4 +59,23 @@ def p8_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return _passages(spark, sf, min_matched=leakage.MIN_WORDS)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_top_tokens, p6_found, p6_term_frequencies, p8_found, p8_overlaps)}
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.draw(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*mixing.draw(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.odd_documents(quality.outlier_scores(table(spark, sf, "documents")))
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.outlier_scores(table(spark, sf, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p4_found, p4_top_tokens, p6_found, p6_term_frequencies, p8_found, p8_overlaps, p9_mix, p9_shares, p10_found, p10_statistics)
+}

@@ -32,9 +32,13 @@ def same_event(a: Column, b: Column) -> Column:
 
 
 def _merge(stretches: DataFrame, keys: list[str], inside: list[str]) -> DataFrame:
-    """One pass: neighbouring stretches of a block whose touching events are the same become one."""
+    """One pass: neighbouring stretches of a block whose touching events are the same become one.
+
+    ``part`` is the block a stretch was made in (null for single events). Two of one block are its first and last: already known not to be one run.
+    """
     w = Window.partitionBy(*keys, *inside).orderBy("first.pos", "first.id")
-    starts = F.when(F.coalesce(same_event(F.lag("last").over(w), F.col("first")), F.lit(False)), 0).otherwise(1)
+    touching = F.coalesce(F.lag("part").over(w) != F.col("part"), F.lit(True))
+    starts = F.when(touching & F.coalesce(same_event(F.lag("last").over(w), F.col("first")), F.lit(False)), 0).otherwise(1)
     numbered = stretches.withColumn("__new", starts).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     at = F.struct("first.pos", "first.id")
     return numbered.groupBy(*keys, *inside, "__run").agg(
@@ -51,7 +55,7 @@ def event_runs(events: DataFrame, key: str, pos: str, event_id: str, eid: str, m
     """
     event = F.struct(F.col(pos).cast("long").alias("pos"), F.col(event_id).alias("id"), F.col(eid).alias("eid"), F.col(message).alias("msg"))
     rows = events.where(F.col(event_id).isNotNull()).dropDuplicates([event_id])
-    part = rows.select(F.col(key), event.alias("first"), event.alias("last"), F.lit(1).cast("long").alias("n"), F.col(ts).alias("t0"), F.col(ts).alias("t1"))
+    part = rows.select(F.col(key), event.alias("first"), event.alias("last"), F.lit(1).cast("long").alias("n"), F.col(ts).alias("t0"), F.col(ts).alias("t1"), F.lit(None).cast("long").alias("part"))
     done = []
     for level in range(levels + 1):
         bits = block_bits * (level + 1)
@@ -64,6 +68,6 @@ def event_runs(events: DataFrame, key: str, pos: str, event_id: str, eid: str, m
         merged = cut(merged.withColumn("__last", F.max("__run").over(block)))
         edge = (F.col("__run") == 1) | (F.col("__run") == F.col("__last"))
         done.append(merged.where(~edge))
-        part = merged.where(edge).drop("__b", "__run", "__last")
+        part = merged.where(edge).withColumnRenamed("__b", "part").drop("__run", "__last")
     cols = [F.col(key), F.col("first.id").alias("first_id"), F.col("n").alias("n_events"), "t0", "t1"]
     return reduce(DataFrame.unionByName, [d.select(*cols) for d in done])
