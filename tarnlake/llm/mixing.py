@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running_total
+from ..session import cut
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -89,7 +90,7 @@ def draw(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None,
     id; those whose middle token lies before the budget's rest get one copy more than the full epochs. Every source misses its budget by at most half a document.
     """
     counted = token_counts(documents, tokenizer or vocabulary_path(), **columns)
-    counted = counted.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
+    counted = cut(counted.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")))  # the range sort reads its input twice
     summed = running_total(counted, ["source"], ["key", "doc_id"], "n_tokens", "upto").select("doc_id", "source", "n_tokens", "upto")
     wanted = [r.asDict() for r in targets.select("mix_name", "source", "target_weight", "max_repeats").collect()]
     names = sorted({(w["source"] or "").strip().lower() for w in wanted})
