@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import salted_lookup
+from ..session import cut, salted_lookup
 from .ordered import fill_forward
 
 #: Width of one segment of the log, in microseconds: a window never holds more than one segment of a key.
@@ -70,6 +70,7 @@ def changed_files(observations: DataFrame, runs: DataFrame) -> DataFrame:
     events = log.select("index_name", "last_file", "obs_id", "version", F.lit(1).alias("kind"), (-F.col("offset_us")).alias("pos"), none.cast("struct<end_us:bigint,run_id:bigint>").alias("batch")).unionByName(
         batches.select("index_name", none.cast("string").alias("last_file"), none.cast("bigint").alias("obs_id"), none.cast("string").alias("version"), F.lit(0).alias("kind"), (-F.col("end_us")).alias("pos"), F.struct("end_us", "run_id").alias("batch"))
     )
+    events = cut(events)
     # Time runs backwards here, so the value carried forward is the next batch; at equal times the batch comes first.
     tie = F.coalesce(-F.col("batch.run_id"), F.lit(0))
     placed = fill_forward(events, ["index_name"], "pos", "batch", "into", SEGMENT_US, [F.col("kind"), tie])
@@ -77,7 +78,7 @@ def changed_files(observations: DataFrame, runs: DataFrame) -> DataFrame:
     held = placed.groupBy("index_name", "last_file", F.col("into.end_us").alias("end_us"), F.col("into.run_id").alias("run_id")).agg(
         F.max_by(F.struct("obs_id", "version"), F.struct(-F.col("pos"), F.col("obs_id"))).alias("latest")
     )
-    held = held.select("index_name", "last_file", "end_us", "run_id", "latest.obs_id", "latest.version")
+    held = cut(held.select("index_name", "last_file", "end_us", "run_id", "latest.obs_id", "latest.version"))
     before = fill_forward(held, ["index_name", "last_file"], "end_us", "version", "sink_version", SEGMENT_US, [F.col("run_id")], strict=True)
     return before.where(~F.col("version").eqNullSafe(F.col("sink_version"))).select("run_id", "obs_id", "index_name", "last_file", "version")
 
