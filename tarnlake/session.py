@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,14 +50,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], salt_from, salts: int = 16, how: str = "left") -> DataFrame:
-    """Join ``small`` (one row per key) to ``big`` so that a key holding a third of ``big`` spreads over ``salts`` tasks.
+    """Join ``small`` (one row per key) to ``big`` so that a key holding a third of ``big`` is no one task's work.
 
-    Keys match null-safely. Where Spark's own size estimate puts ``small`` under its broadcast threshold it is broadcast instead.
+    Keys match null-safely. If a count shows that ``small`` has at most BROADCAST_ROWS rows it is broadcast. Beyond that both sides are shuffled,
+    ``small`` once for each of ``salts`` and each row of ``big`` to the salt of ``salt_from``, which should tell rows of one key apart.
     """
     right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(right), _same(big, right, keys), how).drop(*[f"__{k}" for k in keys])
     right = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = big.withColumn("__salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    on = left["__salt"] == right["__rsalt"]
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[f"__{k}"])
+    on = (left["__salt"] == right["__rsalt"]) & _same(left, right, keys)
     return left.join(right, on, how).drop("__salt", "__rsalt", *[f"__{k}" for k in keys])
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]):
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"__{k}"]) for k in keys])
