@@ -140,7 +140,7 @@ def kinds_of(text: str) -> dict[str, int]:
         else:
             block.append(line)
     flush()
-    total["other"] -= 1 if text else 0
+    total["other"] -= 1  # the last line has no line end
     return total
 
 
