@@ -12,7 +12,7 @@ from .functions.regexlit import required_literals, tree_json
 from .operators import search, substrings, templates, tokens
 from .operators.ordered import fill_forward
 from .plans import planner
-from .session import table
+from .session import cut, table
 from .sources import lines as L
 
 RG = 500
@@ -66,7 +66,7 @@ def row_groups_of(lines: DataFrame) -> int:
 
 def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, planner.Index]:
     lines = doc_lines(spark, sf)
-    return lines, planner.Index.of(tokens.inverted_index(lines), row_groups_of(lines))
+    return lines, planner.Index.of(cut(tokens.inverted_index(lines)), row_groups_of(lines))
 
 
 def joined(c: str = "row_groups"):
@@ -364,7 +364,8 @@ def postings_lookup(spark, sf):
 @query(f"""with {TOKENS}, w as (select 0 piece, token, rgs, len(rgs) > 0.5 * (select n from nr) common from ix where ends_with(token, 'splits')
       union all select 1, token, rgs, len(rgs) > 0.5 * (select n from nr) from ix where token = 'the' union all select 2, token, rgs, len(rgs) > 0.5 * (select n from nr) from ix where starts_with(token, 'sensor.')),
     u as (select piece from w group by 1 having not bool_or(common)), h as (select distinct piece, unnest(rgs) rg from w where piece in (select piece from u))
-    select rg from h group by 1 having count(*) = (select count(*) from u)""")
+    select rg from h group by 1 having count(*) = (select count(*) from u)
+    union all select distinct rg from ll where not exists (select 1 from u)""")
 def candidate_row_groups(spark, sf):
     found = planner.candidate_row_groups(planned(spark, sf)[1], ["splits the sensor."])
     return found if found is not None else doc_lines(spark, sf).select("rg").distinct()

@@ -49,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input in fewer splits than there are cores is dealt out before costly work on each row; a large input stays where it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], salt_from, salts: int = 16, how: str = "left") -> DataFrame:
     """Join ``small`` (one row per key) to ``big`` so that a key holding a third of ``big`` is no one task's work.
 
