@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 WORD = re.compile(r"[^\W_]+")
 #: Masks over consecutive words: 1 is compared, 0 ignored. None is longer than the passage to be found, so every exact passage hits every mask.
 MASKS = ("110110101101", "101101110011")
@@ -142,6 +144,7 @@ def passages(documents: DataFrame, items: DataFrame, doc_id: str, text: str, ite
         raise ValueError("a mask longer than the passage would miss it")
     known = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(passage).alias("t")).distinct()
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(docs)
     out = None
     for block in item_blocks(known, block_words):
         shared = documents.sparkSession.sparkContext.broadcast((block, masks))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running_total
-from ..session import cut
+from ..session import cut, spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -44,7 +44,7 @@ def token_counts(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", t
 
     name = F.lower(F.trim(F.col(source)))
     rows = documents.where(F.col(doc_id).isNotNull() & (name != "")).select(F.col(doc_id).cast("long").alias("doc_id"), name.alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long")
+    return spread(rows).mapInArrow(run, "doc_id long, source string, n_tokens long")
 
 
 def plan_mixes(targets: list[dict], totals: dict[str, int], total_tokens: int | None = None) -> list[dict]:

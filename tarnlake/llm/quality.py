@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running_total
-from ..session import cut, salted_lookup
+from ..session import cut, salted_lookup, spread
 from . import blocks
 
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "end_punct_share", "common_word_share", "list_share", "table_share", "junk_share")
@@ -64,7 +64,7 @@ def document_stats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.float64()) for c in cols]], schema=arrow)
 
     rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), F.coalesce(F.lower(F.trim(F.col(lang))), F.lit("")), F.col(text))
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def tail_ranks(values: DataFrame) -> DataFrame:
