@@ -2,6 +2,8 @@
 
 A seed is a mask over consecutive words that ignores some positions, so a passage with a few substituted words still hits. The hashes of every item's
 windows under each mask are joined with the hashes of every document's windows; around each hit the diagonal is compared word by word.
+A mask of two or more words misses some pattern of substitutions, so where equal words on a diagonal are asked for, whatever stands between them, the
+seeds are single words and a diagonal is compared if enough of them fall on it: that loses none.
 Items come in blocks of bounded size, so what a task holds of them does not grow with their number; documents are never shuffled.
 """
 
@@ -24,6 +26,8 @@ MASKS = ("110110101101", "101101110011")
 MIN_WORDS = 12
 #: Items are broadcast in blocks of at most this many words.
 BLOCK_WORDS = 2_000_000
+#: Hits of single words that are held at once, where a text is longer than a few items.
+HITS = 4_000_000
 
 SCHEMA = "doc_id long, item_id long, run_words int, matched int, compared int, doc_word int, item_word int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *[(c, pa.int32()) for c in ("run_words", "matched", "compared", "doc_word", "item_word")]])
@@ -61,6 +65,11 @@ class SeedIndex:
             h = self.hashes(self.stream, j)[at]
             order = np.argsort(h, kind="stable")
             self.tables.append((h[order], at[order]))
+        # The places of each word, for seeds of one word.
+        self.word_place = np.argsort(self.stream, kind="stable")
+        self.word_count = np.bincount(self.stream, minlength=len(self.vocabulary))
+        self.word_start = np.cumsum(self.word_count) - self.word_count
+        self.longest = int(np.diff([*self.begin, len(stream)]).max(initial=0))
         # A quick test for windows: the low bits of every hash that occurs.
         self.filters = []
         for h, _ in self.tables:
@@ -81,8 +90,38 @@ class SeedIndex:
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-
-def _overlaps(index: SeedIndex, words: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    def matched_diagonals(self, words: np.ndarray, least: int, hits: int = HITS) -> np.ndarray:
+        """(item, diagonal) of all diagonals with at least ``least`` equal words: the hits of single words, counted by diagonal.
+
+        A diagonal that begins at word b of a document ends within the longest item from there, so a long document is counted in pieces by b.
+        """
+        at = np.flatnonzero(words >= 0)
+        counts = self.word_count[words[at]]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        begin = np.array(self.begin, np.int64)
+        found, todo = [np.zeros((0, 2), np.int64)], [(1 - self.longest, len(words))]
+        while todo:
+            a, b = todo.pop()
+            i, j = np.searchsorted(at, [a, b + self.longest - 1])
+            n = int(upto[j] - upto[i])
+            if n < least:
+                continue
+            if n > hits and b - a > 4 * self.longest:
+                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+                continue
+            rep = np.repeat(np.arange(i, j), counts[i:j])
+            place = self.word_place[self.word_start[words[at[rep]]] + np.arange(n) - (upto[rep] - upto[i])]
+            owner = self.owner[place]
+            starts = at[rep] - place + begin[owner]
+            inside = (starts >= a) & (starts < b)
+            keys = np.sort(owner[inside] * (b - a) + starts[inside] - a)
+            keys = np.unique(keys[least - 1 :][keys[least - 1 :] == keys[: len(keys) - least + 1]])
+            owner = keys // (b - a)
+            found.append(np.stack([owner, keys % (b - a) + a - begin[owner]], axis=1))
+        return np.concatenate(found)
+
+
+def _overlaps(index: SeedIndex, words: np.ndarray, min_matched: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
     """Per item hit in one document: (item, longest equal run, equal words, compared words, where in the document, where in the item)."""
     hits = []
     for j in range(len(index.masks)):
@@ -108,12 +147,13 @@ def _overlaps(index: SeedIndex, words: np.ndarray) -> list[tuple[int, int, int,
         rep = np.repeat(np.arange(len(at)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         hits.append(np.stack([at[rep], place[lo[rep] + inside]], axis=1))
-    if not hits:
+    diagonals = [np.stack([index.owner[h[:, 1]], h[:, 0] - h[:, 1]], axis=1) for h in hits]
+    if min_matched is not None:
+        diagonals.append(index.matched_diagonals(words, max(min_matched, 1)))
+    if not diagonals:
         return []
-    pairs = np.concatenate(hits)
-    owner = index.owner[pairs[:, 1]]
     # One comparison a (item, diagonal): all hits on it lie in the same overlap of document and item.
-    diagonals = np.unique(np.stack([owner, pairs[:, 0] - pairs[:, 1]], axis=1), axis=0)
+    diagonals = np.unique(np.concatenate(diagonals), axis=0)
     best: dict[int, tuple] = {}
     total = len(index.stream)
     for k, d in diagonals.tolist():
@@ -137,7 +177,8 @@ def passages(documents: DataFrame, items: DataFrame, doc_id: str, text: str, ite
 
     A pair is kept if its longest run of equal consecutive words has at least ``min_run`` words or, with ``min_matched``, if that many words are equal
     on one diagonal of the overlap (substitutions allowed). Every exact passage of at least the masks' span is found; a shorter ``min_run`` than the span
-    is refused. Null texts and ids match nothing; repeated items count once; repeated document rows give repeated results.
+    is refused. Every diagonal with ``min_matched`` equal words is found too, however they are spread over it; the time for that grows with the number
+    of equal words of all documents and items, which a hot word can make large. Null texts and ids match nothing; repeated items count once; repeated document rows give repeated results.
     Texts are read whole, whatever their length.
     """
     if min_run < max(map(len, masks)):
@@ -174,7 +215,7 @@ def _searcher(shared, min_run: int, min_matched: int | None):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = index.encode(words_of(text))
-                for item, longest, matched, compared, at, place in _overlaps(index, words):
+                for item, longest, matched, compared, at, place in _overlaps(index, words, min_matched):
                     if longest >= min_run or (min_matched is not None and matched >= min_matched):
                         rows.append((doc, item, longest, matched, compared, at, place))
             cols = list(zip(*rows)) if rows else [[]] * 7

@@ -153,6 +153,32 @@ def test_substituted_passages_are_found(spark):
     assert (row["matched"], row["compared"], row["run_words"]) == (27, 30, 7)
 
 
+def matched_on_a_diagonal(doc, item):
+    a, b = leakage.words_of(doc), leakage.words_of(item)
+    return max((sum(a[j + d] == b[j] for j in range(max(0, -d), min(len(b), len(a) - d))) for d in range(1 - len(b), len(a))), default=0)
+
+
+def test_substitutions_at_any_spacing_are_found(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"i{i}w{k}" if k % 3 else rng.choice("abcdef") for k in range(10 + 12 * i))) for i in range(7)]
+    docs = []
+    for i, text in items:
+        for spacing in (2, 3, 4, 5, 6, 7, 9):
+            for keep in (0, 1):  # every spacing-th word replaced, or all others
+                w = [x if (k % spacing > 0) ^ keep else "other" for k, x in enumerate(text.split())]
+                docs.append((len(docs), " ".join([rng.choice("abcdef") for _ in range(rng.randint(0, 40))] + w[rng.randint(0, 5) :])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string")
+    want = {(d, i) for d, t in docs for i, q in items if matched_on_a_diagonal(t, q) >= 12}
+    for block_words in (2_000_000, 60):
+        got = leakage.passages(df, it, "doc_id", "text", "item_id", "question", min_matched=12, block_words=block_words)
+        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    index = leakage.SeedIndex(items, leakage.MASKS)
+    for _, t in docs:
+        words = index.encode(leakage.words_of(t) * 9)
+        whole, pieces = index.matched_diagonals(words, 12), index.matched_diagonals(words, 12, hits=50)
+        assert sorted(map(tuple, whole.tolist())) == sorted(map(tuple, pieces.tolist()))
+
+
 def test_mix_meets_its_weights_within_caps(spark):
     rng = random.Random(6)
     docs = [(i, rng.choice(["A ", "a", "b", "B", "c", None, " "]), "tokens and words " * rng.randint(1, 9)) for i in range(900)] + [(901, "a", None), (None, "a", "x"), (902, "big", "many words " * 3000)]
