@@ -121,8 +121,11 @@ class SeedIndex:
         return np.concatenate(found)
 
 
-def _overlaps(index: SeedIndex, words: np.ndarray, min_matched: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
-    """Per item hit in one document: (item, longest equal run, equal words, compared words, where in the document, where in the item)."""
+def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
+    """Per item hit in one document: (item, longest equal run, equal words, compared words, where in the document, where in the item).
+
+    Of the diagonals that are long or equal enough, each by itself, the one with the longest run.
+    """
     hits = []
     for j in range(len(index.masks)):
         table, place = index.tables[j]
@@ -166,7 +169,10 @@ def _overlaps(index: SeedIndex, words: np.ndarray, min_matched: int | None = Non
         if not len(runs):
             continue
         i = int(runs.argmax())
-        row = (int(runs[i]), int(same.sum()), hi - lo, lo + int(edge[2 * i]) + d, lo + int(edge[2 * i]) - begin)
+        matched = int(same.sum())
+        if runs[i] < min_run and (min_matched is None or matched < min_matched):
+            continue
+        row = (int(runs[i]), matched, hi - lo, lo + int(edge[2 * i]) + d, lo + int(edge[2 * i]) - begin)
         if k not in best or row > best[k]:
             best[k] = row
     return [(index.ids[k], *row) for k, row in best.items()]
@@ -176,7 +182,7 @@ def passages(documents: DataFrame, items: DataFrame, doc_id: str, text: str, ite
     """(doc_id, item_id, run_words, matched, compared, doc_word, item_word) of every document and item that share a passage.
 
     A pair is kept if its longest run of equal consecutive words has at least ``min_run`` words or, with ``min_matched``, if that many words are equal
-    on one diagonal of the overlap (substitutions allowed). Every exact passage of at least the masks' span is found; a shorter ``min_run`` than the span
+    on one diagonal of the overlap (substitutions allowed); its row is of the diagonal with the longest run among those that meet one of the two. Every exact passage of at least the masks' span is found; a shorter ``min_run`` than the span
     is refused. Every diagonal with ``min_matched`` equal words is found too, however they are spread over it; the time for that grows with the number
     of equal words of all documents and items, which a hot word can make large. Null texts and ids match nothing; repeated items count once; repeated document rows give repeated results.
     Texts are read whole, whatever their length.
@@ -215,9 +221,7 @@ def _searcher(shared, min_run: int, min_matched: int | None):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = index.encode(words_of(text))
-                for item, longest, matched, compared, at, place in _overlaps(index, words, min_matched):
-                    if longest >= min_run or (min_matched is not None and matched >= min_matched):
-                        rows.append((doc, item, longest, matched, compared, at, place))
+                rows += [(doc, *row) for row in _overlaps(index, words, min_run, min_matched)]
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)
 

@@ -179,6 +179,15 @@ def test_substitutions_at_any_spacing_are_found(spark):
         assert sorted(map(tuple, whole.tolist())) == sorted(map(tuple, pieces.tolist()))
 
 
+def test_each_diagonal_is_tested_before_the_best_is_chosen(spark):
+    item = [f"w{i}" for i in range(100)]
+    copy = [w if k % 5 else "other" for k, w in enumerate(item)]
+    chance = [w if k < 8 or k in (9, 10, 12) else "other" for k, w in enumerate(item[40:53])]
+    df, it = spark.createDataFrame([(1, " ".join(chance + ["other"] * 200 + copy)), (2, " ".join(chance))], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, question string")
+    rows = leakage.passages(df, it, "doc_id", "text", "item_id", "question", min_matched=12).collect()
+    assert [(r["doc_id"], r["run_words"], r["matched"], r["doc_word"], r["item_word"]) for r in rows] == [(1, 4, 80, 214, 1)]
+
+
 def test_mix_meets_its_weights_within_caps(spark):
     rng = random.Random(6)
     docs = [(i, rng.choice(["A ", "a", "b", "B", "c", None, " "]), "tokens and words " * rng.randint(1, 9)) for i in range(900)] + [(901, "a", None), (None, "a", "x"), (902, "big", "many words " * 3000)]
