@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.strptime import java_pattern
 from .operators import search as S
 from .plans.planner import candidate_row_groups, literals_of
+from .session import cut
 from .sources import lines as L
 from .sources import store
 
@@ -46,6 +47,7 @@ def index_logs(
 def search(spark: SparkSession, index_path: str, query: str, limit: int, mode: str = "literal", distinct: bool = False) -> DataFrame:
     """At most ``limit`` lines that hold the query, newest split first, then by line number; splits are read until there are enough.
 
+    With ``distinct`` a line counts once over all splits read and comes from the newest split that holds it.
     The index only leaves out row groups that hold none. An index without answer, or none at all, gives an empty frame.
     """
     parts, have = [], 0
@@ -56,6 +58,9 @@ def search(spark: SparkSession, index_path: str, query: str, limit: int, mode: s
         found = S.bruteforce(S.restrict(lines, candidates), query, mode)
         if distinct:
             found = found.groupBy("log").agg(F.min_by(F.struct(*[c for c in found.columns if c != "log"]), "line_no").alias("r")).select("r.*", "log")
+            for newer in parts:
+                found = found.join(newer.select("log"), "log", "left_anti")
+            found = cut(found.orderBy("line_no").limit(limit - have))  # at most ``limit`` rows in all, and no newer split is read again
         parts.append(found.select(*[f.split()[0] for f in RESULT.split(", ")]))
         have += found.limit(limit - have).count()
         if have >= limit:
@@ -63,8 +68,6 @@ def search(spark: SparkSession, index_path: str, query: str, limit: int, mode: s
     if not parts:
         return spark.createDataFrame([], RESULT)
     whole = reduce(DataFrame.unionByName, parts)
-    if distinct:
-        whole = whole.groupBy("log").agg(F.max_by(F.struct(*[c for c in whole.columns if c != "log"]), F.struct("split", -F.col("line_no"))).alias("r")).select("r.*", "log")
     return whole.orderBy(F.desc("split"), "line_no").limit(limit)
 
 

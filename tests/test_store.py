@@ -85,6 +85,19 @@ def test_splits_newest_first_and_compaction(spark, logs, tmp_path):
     assert api.search(spark, merged, "id2_14", 1000).count() == sum("id2_14" in x for x in plain(logs))
 
 
+def test_distinct_lines_count_once_over_splits(spark, tmp_path):
+    texts = {3: [f"hit {i}" for i in range(6)] * 2, 2: [f"hit {i}" for i in range(2, 8)], 1: ["hit 0", "miss"], 0: [f"hit old {i}" for i in range(9)]}
+    rows = [(s, f"f{s}", i, i // 4, None, x) for s, lines in texts.items() for i, x in enumerate(lines)]
+    store.write_split(spark.createDataFrame(rows, api.RESULT), str(tmp_path / "ix"), 4)
+    first = {}
+    for s, _, i, _, _, x in sorted(rows, key=lambda r: (-r[0], r[2])):
+        if "hit" in x:
+            first.setdefault(x, (s, i, x))
+    for limit in (5, 6, 7, 10, 30):
+        got = [(r["split"], r["line_no"], r["log"]) for r in api.search(spark, str(tmp_path / "ix"), "hit", limit, distinct=True).collect()]
+        assert got == list(first.values())[:limit], limit
+
+
 @pytest.mark.parametrize("codec", ["zstd", "snappy", "lz4"])
 def test_codecs_round_trip(spark, tmp_path, codec):
     df = spark.createDataFrame([(0, "f", 0, 0, None, "This is a test string for compression.")], api.RESULT)
