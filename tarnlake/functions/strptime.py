@@ -86,11 +86,11 @@ def zone(name: str | None) -> ZoneInfo | None:
 
 
 @lru_cache(maxsize=65536)
-def wall_offset(name: str | None, year: int, month: int, day: int, hour: int, minute: int) -> int | None:
-    """Seconds east of UTC of the earlier instant with this wall time in the zone; None if the time did not occur."""
+def wall_offsets(name: str | None, year: int, month: int, day: int, hour: int, minute: int) -> tuple[int, ...]:
+    """Seconds east of UTC of the instants with this wall time in the zone, the earlier first; none if the time did not occur."""
     z = zone(name)
     if z is None:
-        return None
+        return ()
     wall = datetime(year, month, day, hour, minute)
     found = []
     for fold in (0, 1):
@@ -98,7 +98,7 @@ def wall_offset(name: str | None, year: int, month: int, day: int, hour: int, mi
         utc = (wall - offset).replace(tzinfo=timezone.utc)
         if utc.astimezone(z).replace(tzinfo=None) == wall:
             found.append(int(offset.total_seconds()))
-    return max(found) if found else None
+    return tuple(sorted(set(found), reverse=True))
 
 
 @lru_cache(maxsize=65536)
@@ -118,79 +118,91 @@ def _offset(text: str) -> int | None:
     return (h * 3600 + m * 60) * (-1 if text[0] == "-" else 1)
 
 
+#: Nothing that the fields of a timestamp may stand for.
+NO_READING = (None, None, ())
+
+
 def instant(match: re.Match, zone_name: str | None, closed_us: int | None) -> int | None:
     """UTC microseconds of a matched timestamp, or None if its fields give none.
 
     A time without zone is in ``zone_name`` (None: UTC). Of two instants with the same wall time the earlier holds; a wall time
     that was skipped has none. Without a year it has the latest year that does not put it after ``closed_us``.
     """
+    return readings(match, zone_name, closed_us)[0]
+
+
+def readings(match: re.Match, zone_name: str | None, closed_us: int | None) -> tuple[int | None, int | None, tuple[int, ...]]:
+    """What ``instant`` gives, the later instant of the same wall time, and the instants in earlier years of a time without year."""
     g = match.groupdict()
     if g.get("s") is not None:
-        return number_to_us(int(g["s"]), g.get("f"))
+        return number_to_us(int(g["s"]), g.get("f")), None, ()
     if g.get("p") is not None:
         hour = int(g["I"] if g.get("I") is not None else g["H"])
         if g.get("I") is not None:
             if not 1 <= hour <= 12:
-                return None
+                return NO_READING
             hour = hour % 12 + (12 if g["p"][0] in "Pp" else 0)
     else:
         hour = int(g.get("H") or g.get("I") or 0)
     minute, second = int(g.get("M") or 0), int(g.get("S") or 0)
     if hour > 23 or minute > 59 or second > 59:
-        return None
+        return NO_READING
     micro = int((g.get("f") or "0")[:6].ljust(6, "0"))
     month, day = 1, 1
     if g.get("b"):
         if g["b"][:3].lower() not in MONTHS:
-            return None
+            return NO_READING
         month = MONTHS.index(g["b"][:3].lower()) + 1
     elif g.get("m"):
         month = int(g["m"])
     if g.get("d"):
         day = int(g["d"])
     if g.get("a") and g["a"][:3].lower() not in DAYS:
-        return None
+        return NO_READING
 
-    def at(year: int) -> tuple[bool, int | None]:
-        """Whether the year has the day, and the instant in it."""
+    def at(year: int) -> tuple[bool, list[int]]:
+        """Whether the year has the day, and the instants in it."""
         if g.get("j"):
             n, first, nxt = int(g["j"]), days_of(year, 1, 1), days_of(year + 1, 1, 1)
             if first is None or nxt is None or not 1 <= n <= nxt - first:
-                return False, None
+                return False, []
             days = first + n - 1
         else:
             days = days_of(year, month, day)
             if days is None:
-                return False, None
+                return False, []
         if g.get("z") is not None:
-            offset = _offset(g["z"])
+            offsets = (_offset(g["z"]),)
         elif g.get("Z") is not None and g["Z"].upper() in ABBREVIATIONS:
-            offset = ABBREVIATIONS[g["Z"].upper()] * 60
+            offsets = (ABBREVIATIONS[g["Z"].upper()] * 60,)
         else:
             d = date.fromordinal(days + 719_163)
-            offset = wall_offset(zone_name, d.year, d.month, d.day, hour, minute)
-        if offset is None:
-            return True, None
-        return True, (days * 86_400 + hour * 3_600 + minute * 60 + second - offset) * 1_000_000 + micro
-
-    if g.get("Y"):
-        return at(int(g["Y"]))[1]
-    if g.get("y"):
-        y = int(g["y"])
-        return at(y + (1900 if y >= 69 else 2000))[1]
+            offsets = wall_offsets(zone_name, d.year, d.month, d.day, hour, minute)
+        return True, [(days * 86_400 + hour * 3_600 + minute * 60 + second - o) * 1_000_000 + micro for o in offsets if o is not None]
+
+    if g.get("Y") or g.get("y"):
+        y = int(g.get("Y") or g["y"])
+        _, us = at(y if g.get("Y") else y + (1900 if y >= 69 else 2000))
+        return (us[0], us[1] if len(us) > 1 else None, ()) if us else NO_READING
     if closed_us is None:
-        return None
+        return NO_READING
+    latest, earlier = None, []
     last = (datetime(1970, 1, 1) + timedelta(microseconds=closed_us)).year + 1
     for year in range(last, last - 10, -1):
         has, us = at(year)
         if not has:
             continue
-        if us is None:
+        if latest is not None:
+            earlier += us
+            continue
+        if not us:
             # A skipped wall time: it belongs to this year if the clock had passed it by the time the file was closed.
             wall = (days_of(year, month, day) * 86_400 + hour * 3_600 + minute * 60) * 1_000_000
             if wall - 14 * 3_600_000_000 <= closed_us:
-                return None
+                return NO_READING
             continue
-        if us <= closed_us:
-            return us
-    return None
+        if us[0] <= closed_us:
+            latest = us
+    if latest is None:
+        return NO_READING
+    return latest[0], latest[1] if len(latest) > 1 else None, tuple(earlier)

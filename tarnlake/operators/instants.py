@@ -1,17 +1,28 @@
-"""Mixed timestamp formats and zones to one UTC instant, by expectation-maximisation over the formats of each source.
+"""Mixed timestamp formats and zones to one UTC instant, by expectation-maximisation over the interpretations of each source.
 
-Each value has a few interpretations: its source's declared format, a full date and time with offset, and an epoch number (one
-component per unit). A source is a mixture of these. An interpretation that does not parse has likelihood 0; one that does has
-likelihood 1 per second of the window it may fall in, less when its instant is far from what ingest stored or the source's close.
-EM estimates each source's weights from all of its values; the posterior picks the interpretation. Where two interpretations with
-different instants stay within ``margin`` of each other the value is marked ambiguous and the declared format holds.
+A source is a mixture of components: its declared format, a full date and time with offset, and an epoch number (one component
+per unit). Within the declared format a time may have several readings: the two instants of a repeated wall time, and the years
+of a time without year. How often a source means the later instant or an earlier year is estimated with the weights, from the
+values that have the choice.
 
-The statistics of EM are sums per (source, pattern of valid interpretations), so a source holding a third of all values is
-summed map-side and never gathered; the weights of a source are fitted on those few rows.
+A reading that does not parse has likelihood 0. One that does has likelihood 1 per second of its window (2000 to 2049 for all
+components, so the window cancels; the earlier years of a time share theirs), times 1 / (1 + d) for its distance d in minutes from
+what ingest stored and 1 / (1 + d) for its distance d in months of 30 days before the source's close, or ``AFTER_CLOSE`` if it
+comes after that. Both tails are long, for stored times may be another line's.
+
+EM estimates each source's weights from all of its values; the posterior picks the component. The instant given is that of the
+component by the rules of ``strptime.instant`` (earlier instant, latest year), whatever the posterior of its other readings;
+``likely_us`` is the most likely instant. Where the components stay within ``margin`` of each other the declared format holds. Where the
+instant given does not lead every other by ``margin`` the value is marked ambiguous.
+
+Likelihoods are rounded to powers of two, relative to the value's best, so the statistics of EM are sums per (source, pattern of
+levels): a source holding a third of all values is summed map-side, and its weights are fitted on its patterns, whose number does
+not grow with its values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,86 +32,174 @@ from pyspark.sql import functions as F
 from ..functions import strptime as S
 from ..session import cut, salted_lookup
 
-KINDS = ("declared", "iso", "epoch")
-SCHEMA = "stamp_id long, file_id long, i_declared long, i_iso long, i_epoch long, i_stored long"
+UNITS = (1, 1_000, 1_000_000, 1_000_000_000)
+#: Weights of a source: declared, iso and an epoch number by unit; and how often its times mean the later instant or an earlier year.
+COMPONENTS = ("declared", "iso", "epoch_s", "epoch_ms", "epoch_us", "epoch_ns")
+CHOICES = ("later", "year")
+#: Readings of a value, the declared format's first; a rule's reading stands before its rivals.
+READINGS = ("declared", "later", "year", "iso", "epoch")
+#: Likelihoods below 2^-LEVELS of the value's best count as that.
+LEVELS = 16
+AFTER_CLOSE = 1 / 1024
+MINUTE, MONTH = 60_000_000, 30 * 86_400_000_000
+SCHEMA = "stamp_id long, file_id long, unit int, i_declared long, i_later long, i_year long, i_iso long, i_epoch long, i_stored long, levels array<int>"
+RESULT = "stamp_id long, file_id long, utc_us long, interpretation string, posterior double, ambiguous boolean, likely_us long"
+WEIGHTS = ", ".join(["file_id long", *[f"w_{k} double" for k in COMPONENTS + CHOICES]])
+
+
+def likelihood(us: int, closed: int | None, stored: int | None) -> float:
+    out = 1.0
+    if stored is not None:
+        out /= 1 + abs(us - stored) / MINUTE
+    if closed is not None:
+        out *= AFTER_CLOSE if us > closed else 1 / (1 + (closed - us) / MONTH)
+    return out
+
+
+def levels_of(found: list[float | None]) -> list[int | None]:
+    best = max((x for x in found if x is not None), default=None)
+    return [None if x is None else min(LEVELS, round(math.log2(best / x))) for x in found]
 
 
 def interpretations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        out: dict[str, list] = {k: [] for k in ("i_declared", "i_iso", "i_epoch", "i_stored")}
+        out: dict[str, list] = {k: [] for k in ("unit", "i_declared", "i_later", "i_year", "i_iso", "i_epoch", "i_stored", "levels")}
         for text, fmt, zone, closed, stored in zip(col["prefix_text"], col["prefix_format"], col["zone_name"], col["closed_us"], col["epoch_ts"]):
             text = text.strip() if text is not None else ""
-            declared = iso = epoch = None
+            declared = later = year = iso = epoch = unit = None
+            years: tuple[int, ...] = ()
+            stored = S.number_to_us(stored) if stored is not None else None
             if text:
                 pattern = S.compile_format(fmt) if fmt else None
                 if pattern is not None and (m := pattern.fullmatch(text)):
-                    declared = S.instant(m, zone, closed)
+                    declared, later, years = S.readings(m, zone, closed)
                 if m := S.ISO.fullmatch(text):
                     iso = S.instant(m, zone, closed)
                 if m := S.EPOCH.fullmatch(text):
-                    epoch = S.number_to_us(int(m["s"]), m["f"]) if len(m["s"]) <= 20 else None
-            out["i_declared"].append(declared)
-            out["i_iso"].append(iso)
-            out["i_epoch"].append(epoch)
-            out["i_stored"].append(S.number_to_us(stored) if stored is not None else None)
+                    number = int(m["s"]) if len(m["s"]) <= 20 else 0
+                    epoch = S.number_to_us(number, m["f"])
+                    unit = next((i for i, u in enumerate(UNITS) if S.LOW * u <= number < S.HIGH * u), None)
+            levels = None
+            if (declared is not None) + (iso is not None) + (epoch is not None) > 1 or later is not None or years:
+                each = [likelihood(y, closed, stored) for y in years]
+                year = years[each.index(max(each))] if years else None
+                found = [None if us is None else likelihood(us, closed, stored) for us in (declared, later, year, iso, epoch)]
+                found[2] = sum(each) / len(each) if years else None
+                levels = levels_of(found)
+            else:
+                levels = [None if us is None else 0 for us in (declared, later, year, iso, epoch)]
+            for k, v in zip(out, (unit, declared, later, year, iso, epoch, stored, levels)):
+                out[k].append(v)
         arrays = [batch.column(batch.schema.get_field_index(n)).cast(pa.int64()) for n in ("stamp_id", "file_id")]
-        yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(v, pa.int64()) for v in out.values()]], ["stamp_id", "file_id", *out])
+        kinds = {"unit": pa.int32(), "levels": pa.list_(pa.int32())}
+        yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], ["stamp_id", "file_id", *out])
 
 
-def fit_weights(counts: DataFrame, rounds: int = 12) -> DataFrame:
-    """EM per source over (file_id, valid: which interpretations parse, n). One row per source with its weights.
+def priors(levels, unit, w: dict) -> list:
+    """Weight times likelihood of each reading of READINGS, without regard to a common factor; works on numbers."""
+    declared, later, year, iso, epoch = [0.0 if v is None else 2.0**-v for v in levels]
+    among = w["later"] if levels[1] is not None else 0.0
+    before = w["year"] if levels[2] is not None else 0.0
+    of = w["declared"]
+    return [of * (1 - before) * (1 - among) * declared, of * (1 - before) * among * later, of * before * year, w["iso"] * iso, (w[COMPONENTS[2 + unit]] if unit is not None else 0.0) * epoch]
 
-    A source has at most 2^3 patterns, so both steps are aggregates over at most eight rows a source.
-    """
-    weights = {k: F.lit(1.0 / len(KINDS)) for k in KINDS}
-    cols = [F.coalesce(F.sum(F.when((F.col("v_declared") == bool(p & 1)) & (F.col("v_iso") == bool(p & 2)) & (F.col("v_epoch") == bool(p & 4)), F.col("n"))), F.lit(0)).cast("double").alias(f"n{p}") for p in range(1, 8)]
-    per = counts.groupBy("file_id").agg(*cols)
-    per = per.withColumns({f"w_{k}": w for k, w in weights.items()})
-    total = sum((F.col(f"n{p}") for p in range(1, 8)), F.lit(0.0))
+
+def em(patterns: list[tuple[int | None, list, int]], rounds: int) -> dict[str, float]:
+    """The weights of one source from its patterns (unit, levels, n)."""
+    w = {k: 1.0 / len(COMPONENTS) for k in COMPONENTS} | {k: 0.5 for k in CHOICES}
+    total = float(sum(n for *_, n in patterns))
     for _ in range(rounds):
-        share = {k: F.lit(0.0) for k in KINDS}
-        for p in range(1, 8):
-            inside = [k for i, k in enumerate(KINDS) if p & 1 << i]
-            mass = sum((F.col(f"w_{k}") for k in inside), F.lit(1e-12))
-            for k in inside:
-                share[k] = share[k] + F.col(f"n{p}") * F.col(f"w_{k}") / mass
-        # One pseudo-count on the declared format: it wins where nothing in the data speaks against it.
-        per = per.select("file_id", *[f"n{p}" for p in range(1, 8)], *[((share[k] + (1.0 if k == "declared" else 0.0)) / (total + 1.0)).alias(f"w_{k}") for k in KINDS])
-    return per.select("file_id", *[f"w_{k}" for k in KINDS])
+        share = {k: 0.0 for k in COMPONENTS}
+        # One pseudo-count on the declared format: it wins where nothing in the data speaks against it. One on each side of a choice.
+        share["declared"] = 1.0
+        taken, asked = {k: 1.0 for k in CHOICES}, {k: 2.0 for k in CHOICES}
+        for unit, levels, n in patterns:
+            p = priors(levels, unit, w)
+            mass = sum(p) + 1e-12
+            p = [n * x / mass for x in p]
+            share["declared"] += p[0] + p[1] + p[2]
+            share["iso"] += p[3]
+            if unit is not None:
+                share[COMPONENTS[2 + unit]] += p[4]
+            if levels[1] is not None:
+                taken["later"] += p[1]
+                asked["later"] += p[0] + p[1]
+            if levels[2] is not None:
+                taken["year"] += p[2]
+                asked["year"] += p[0] + p[1] + p[2]
+        w = {k: v / (total + 1.0) for k, v in share.items()} | {k: taken[k] / asked[k] for k in CHOICES}
+    return w
+
+
+def fit_weights(counts: DataFrame, rounds: int = 12) -> DataFrame:
+    """EM per source over (file_id, unit, levels, n). One row per source with its weights."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cols = batch.column(0), []
+            for patterns in batch.column(1).to_pylist():
+                w = em([(p["unit"], p["levels"], p["n"]) for p in patterns], rounds)
+                cols.append([w[k] for k in COMPONENTS + CHOICES])
+            arrays = [pa.array([r[i] for r in cols], pa.float64()) for i in range(len(COMPONENTS + CHOICES))]
+            yield pa.RecordBatch.from_arrays([ids, *arrays], ["file_id", *[f"w_{k}" for k in COMPONENTS + CHOICES]])
+
+    # Sorted, so that the sums come out the same each time.
+    per = counts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("unit", "levels", "n"))).alias("patterns"))
+    return per.mapInArrow(fit, WEIGHTS)
+
+
+def choose(instants: list[int | None], levels: list[int | None], unit: int | None, w: dict, margin: float) -> tuple[int, str, float, bool, int]:
+    """(instant given, its component, its posterior, ambiguous, most likely instant) of a value with two readings or more."""
+    p = priors(levels, unit, w)
+    mass = sum(p) or 1.0
+    p = [x / mass for x in p]
+    options = [(sum(p[:3]), "declared", instants[0]), (p[3], "iso", instants[3]), (p[4], "epoch", instants[4])]
+    options = sorted((o for o in options if o[2] is not None), key=lambda o: -o[0])  # ties go to the declared format
+    given = options[0]
+    rival = next((o for o in options if o[2] != given[2]), None)
+    if rival is not None and given[0] - rival[0] < margin and instants[0] is not None:
+        given = (0.0, "declared", instants[0])
+    # Readings that agree on the instant add up.
+    by: dict[int, float] = {}
+    for us, x in zip(instants, p):
+        if us is not None:
+            by[us] = by.get(us, 0.0) + x
+    lead = by[given[2]] - max((x for us, x in by.items() if us != given[2]), default=-1.0)
+    return given[2], given[1], by[given[2]], lead < margin, max(by, key=by.get)
+
+
+def choices(batches: Iterator[pa.RecordBatch], margin: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n not in ("stamp_id", "file_id")}
+        weights = list(zip(*[col[f"w_{k}"] for k in COMPONENTS + CHOICES]))
+        rows = []
+        for i, us in enumerate(zip(*[col[f"i_{k}"] for k in READINGS])):
+            valid = [k for k, x in enumerate(us) if x is not None]
+            if len(valid) > 1:
+                rows.append(choose(us, col["levels"][i], col["unit"][i], dict(zip(COMPONENTS + CHOICES, weights[i])), margin))
+            elif valid:
+                rows.append((us[valid[0]], READINGS[valid[0]], 1.0, False, us[valid[0]]))
+            else:
+                stored = col["i_stored"][i]
+                rows.append((stored, "none" if stored is None else "stored", 0.0, False, stored))
+        kinds = (pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int64())
+        arrays = [batch.column(batch.schema.get_field_index(n)) for n in ("stamp_id", "file_id")]
+        names = [c.split()[0] for c in RESULT.split(", ")]
+        yield pa.RecordBatch.from_arrays([*arrays, *[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]], names)
 
 
 def normalise_instants(stamps: DataFrame, files: DataFrame, margin: float = 0.2, rounds: int = 12) -> DataFrame:
-    """One row per stamp_id: utc_us (null: none), interpretation (declared, iso, epoch, stored or none), posterior, ambiguous.
+    """One row per stamp_id: utc_us (null: none), interpretation (declared, iso, epoch, stored or none), posterior, ambiguous, likely_us.
 
     The stored epoch_ts gives the instant only where prefix_text gives none. Null texts, formats, zones (UTC), close times and unknown files are
-    allowed; rows with a null stamp_id are left out, repeated rows count once. A value is ambiguous if two interpretations give different instants
-    and neither posterior leads by ``margin``.
+    allowed; rows with a null stamp_id are left out, repeated rows count once. The posterior is that of the instant given, and likely_us the instant of the
+    highest posterior. A value is ambiguous if its instant does not lead that of every other reading by ``margin``.
     """
     stamps = stamps.select("stamp_id", "file_id", "prefix_text", "epoch_ts").where("stamp_id is not null").dropDuplicates(["stamp_id"])
     files = files.where("file_id is not null").select("file_id", "prefix_format", "zone_name", F.unix_micros("closed_at").alias("closed_us")).dropDuplicates(["file_id"])
     joined = salted_lookup(stamps, files, ["file_id"], F.col("stamp_id"))
     parsed = cut(joined.mapInArrow(interpretations, SCHEMA))
-    valid = {f"v_{k}": F.col(f"i_{k}").isNotNull() for k in KINDS}
-    counts = parsed.withColumns(valid).groupBy("file_id", *valid).agg(F.count("*").alias("n"))
+    counts = parsed.groupBy("file_id", "unit", "levels").agg(F.count("*").alias("n"))
     weighted = salted_lookup(parsed, fit_weights(counts, rounds), ["file_id"], F.col("stamp_id"))
-    scored = [F.when(F.col(f"i_{k}").isNotNull(), F.col(f"w_{k}")).otherwise(F.lit(0.0)) for k in KINDS]
-    mass = sum(scored, F.lit(0.0))
-    options = F.array(*[F.struct((s / F.when(mass > 0, mass)).alias("p"), F.lit(-i).alias("rank"), F.lit(k).alias("kind"), F.col(f"i_{k}").alias("us")) for i, (k, s) in enumerate(zip(KINDS, scored))])
-    options = F.reverse(F.array_sort(F.filter(options, lambda o: o["us"].isNotNull())))
-    best = weighted.withColumn("__o", options)
-    rivals = F.filter("__o", lambda o: o["us"] != F.col("__o")[0]["us"])
-    best = best.withColumn("__first", F.get("__o", F.lit(0))).withColumn("__rival", F.get(rivals, F.lit(0)))
-    close = F.col("__rival").isNotNull() & (F.col("__first.p") - F.col("__rival.p") < margin)
-    chosen = F.when(close & F.col("i_declared").isNotNull(), F.struct(F.col("i_declared").alias("us"), F.lit("declared").alias("kind"))).when(
-        F.col("__first").isNotNull(), F.struct(F.col("__first.us").alias("us"), F.col("__first.kind").alias("kind"))
-    )
-    best = best.withColumn("__c", chosen)
-    return best.select(
-        "stamp_id",
-        "file_id",
-        F.coalesce("__c.us", "i_stored").alias("utc_us"),
-        F.coalesce(F.col("__c.kind"), F.when(F.col("i_stored").isNotNull(), F.lit("stored")), F.lit("none")).alias("interpretation"),
-        F.coalesce(F.col("__first.p"), F.lit(0.0)).alias("posterior"),
-        F.coalesce(close, F.lit(False)).alias("ambiguous"),
-    )
+    return weighted.mapInArrow(lambda batches: choices(batches, margin), RESULT)

@@ -212,6 +212,29 @@ def test_ambiguous_values_are_marked(spark):
     assert got[1]["interpretation"] == "declared" and got[2]["interpretation"] == "epoch" and not got[2]["ambiguous"]
 
 
+def test_repeated_wall_times_and_years_are_ambiguous_unless_resolved(spark):
+    closed = dt.datetime(2024, 10, 28)
+    spec = "file_id long, prefix_format string, zone_name string, closed_at timestamp"
+    files = spark.createDataFrame([(1, "%Y-%m-%d %T", "Europe/Berlin", closed), (2, "%b %e %H:%M:%S", None, dt.datetime(2024, 6, 1)), (3, "%b %e %H:%M:%S", None, dt.datetime(2024, 6, 1))], spec)
+    us = lambda text: round((dt.datetime.fromisoformat(text) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+    twice, early, late = "2024-10-27 02:30:00", us("2024-10-27T00:30:00"), us("2024-10-27T01:30:00")
+    rows = [(1, 1, twice, None, early, None, True), (2, 1, twice, early // 10**6, early, early, False), (3, 1, twice, late // 10**6, early, late, True), (4, 1, twice, 1, early, None, True)]
+    rows += [(5, 1, "2024-10-27 04:30:00", None, us("2024-10-27T03:30:00"), us("2024-10-27T03:30:00"), False)]
+    rows += [(6, 2, "May 30 10:00:00", None, us("2024-05-30T10:00:00"), us("2024-05-30T10:00:00"), False)]
+    rows += [(7, 3, "Jun  2 10:00:00", us("2022-06-02T10:00:00") // 10**6, us("2023-06-02T10:00:00"), us("2022-06-02T10:00:00"), True)]
+    stamps = spark.createDataFrame([r[:4] for r in rows], "stamp_id long, file_id long, prefix_text string, epoch_ts long")
+    got = {r["stamp_id"]: r for r in instants.normalise_instants(stamps, files).collect()}
+    for i, _, _, _, want, likely, ambiguous in rows:
+        assert (got[i]["utc_us"], got[i]["interpretation"], got[i]["ambiguous"]) == (want, "declared", ambiguous), i
+        assert likely is None or got[i]["likely_us"] == likely, i
+
+
+def test_epoch_units_are_weighed_apart():
+    ms, ns = [None, None, None, None, 0], [0, None, None, None, 0]
+    w = instants.em([(1, ms, 90), (3, ns, 10)], 12)
+    assert w["epoch_ms"] > 0.85 and w["epoch_s"] == 0 and w["declared"] > w["epoch_ns"]
+
+
 def test_planner_never_loses_a_row_group(spark):
     rng = random.Random(9)
     vocabulary = ["alpha", "beta:gamma", "x", "10036", "naïve", "a-b", "INFO"] + [f"t{i}" for i in range(60)]
