@@ -11,7 +11,8 @@ so a replayed batch repeats nothing.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,11 @@ def changed_files(observations: DataFrame, runs: DataFrame) -> DataFrame:
     return before.where(~F.col("version").eqNullSafe(F.col("sink_version"))).select("run_id", "obs_id", "index_name", "last_file", "version")
 
 
+def _parts(offset) -> list:
+    """An offset as it stands in a plan; plans of a single offset column may hold the bare value."""
+    return offset if isinstance(offset, list) else [offset]
+
+
 class ChangeFeed:
     """Exactly-once processing of a growing table of (key, version, offset) records.
 
@@ -90,10 +96,14 @@ class ChangeFeed:
     partition), ``commits/<n>`` (marker) and ``sink/batch=<n>``. ``run`` first replays a plan that has no commit, with the
     same offsets; its output folder is overwritten, so nothing is written twice. The sink drops records whose version
     it already holds for the key. Partition of a key: hash modulo ``partitions``, fixed at the first plan.
+
+    ``offset`` is one column or several, compared in turn, such as ("offset_us", "obs_id"); together they must tell the records of a key apart, or
+    ``run`` refuses the batch. Records with a null in an offset are left out.
     """
 
-    def __init__(self, spark: SparkSession, state_dir: str, key: str, version: str, offset: str, partitions: int = 8):
-        self.spark, self.dir, self.key, self.version, self.offset, self.partitions = spark, state_dir.rstrip("/"), key, version, offset, partitions
+    def __init__(self, spark: SparkSession, state_dir: str, key: str, version: str, offset: str | Sequence[str], partitions: int = 8):
+        self.spark, self.dir, self.key, self.version, self.partitions = spark, state_dir.rstrip("/"), key, version, partitions
+        self.offset = [offset] if isinstance(offset, str) else list(offset)
         self._jvm = spark._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.dir).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -126,14 +136,23 @@ class ChangeFeed:
         plans, commits = self._numbers("plans"), set(self._numbers("commits"))
         if plans and plans[-1] not in commits:
             return plans[-1], self._read(f"plans/{plans[-1]}")
-        start = self._read(f"plans/{plans[-1]}")["end"] if plans else {}
-        ends = source.where(F.col(self.offset).isNotNull()).groupBy(self._partition().alias("p")).agg(F.max(self.offset).alias("o")).collect()  # one row a partition
-        end = start | {str(r["p"]): max(r["o"], start.get(str(r["p"]), r["o"])) for r in ends}
+        start = {p: _parts(o) for p, o in self._read(f"plans/{plans[-1]}")["end"].items()} if plans else {}
+        ends = source.where(self._placed()).groupBy(self._partition().alias("p")).agg(F.max(F.struct(*self.offset)).alias("o")).collect()  # one row a partition
+        end = start | {str(r["p"]): max(list(r["o"]), start.get(str(r["p"]), list(r["o"]))) for r in ends}
         n = (plans[-1] if plans else 0) + 1
         content = {"start": start, "end": end}
         self._write(f"plans/{n}", content)
         return n, content
 
+    def _placed(self):
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in self.offset])
+
+    def _bounds(self, source: DataFrame, offsets: dict):
+        """The offset of a plan for each row's partition; null where it has none."""
+        kinds = [source.schema[c].dataType for c in self.offset]
+        bound = lambda o: F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(_parts(o), kinds, self.offset)])
+        return F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), bound(o))])[self._partition()]
+
     def _partition(self):
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.partitions)).cast("string")
 
@@ -148,17 +167,18 @@ class ChangeFeed:
     def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Process one batch; returns its number. ``process`` must keep the key, version and offset columns."""
         n, plan = self.plan(source)
-        low = F.create_map(*[x for p, o in plan["start"].items() for x in (F.lit(p), F.lit(o))]) if plan["start"] else None
-        high = F.create_map(*[x for p, o in plan["end"].items() for x in (F.lit(p), F.lit(o))]) if plan["end"] else None
-        part = self._partition()
-        inside = F.lit(False) if high is None else (F.col(self.offset) <= high[part])
-        if low is not None:
-            inside = inside & (F.col(self.offset) > F.coalesce(low[part], F.lit(-(2**62))))
+        at = F.struct(*self.offset)
+        inside = self._placed() & (at <= self._bounds(source, plan["end"])) if plan["end"] else F.lit(False)
+        if plan["start"]:
+            low = self._bounds(source, plan["start"])
+            inside = inside & (low.isNull() | (at > low))
         batch = source.where(inside & F.col(self.version).isNotNull())
-        latest = batch.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != self.key]), F.col(self.offset)).alias("__r")).select(self.key, "__r.*")
+        if batch.groupBy(self.key, *self.offset).agg((F.min(self.version) < F.max(self.version)).alias("tied")).where("tied").limit(1).count():
+            raise ValueError("two versions of a key have the same offset")
+        latest = batch.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != self.key]), at).alias("__r")).select(self.key, "__r.*")
         held = self._committed_sink()
         if held is not None:
-            held = held.groupBy(F.col(self.key).alias("__k")).agg(F.max_by(self.version, self.offset).alias("__v"))
+            held = held.groupBy(F.col(self.key).alias("__k")).agg(F.max_by(F.col(self.version), at).alias("__v"))
             latest = latest.join(held, latest[self.key].eqNullSafe(held["__k"]) & latest[self.version].eqNullSafe(held["__v"]), "left_anti")
         result = process(latest) if process else latest
         result.write.mode("overwrite").parquet(f"{self.dir}/sink/batch={n}")

@@ -84,6 +84,39 @@ def test_change_feed_survives_a_failure_without_skips_or_repeats(spark, tmp_path
     assert feed().run(df(more)) == 4 and feed().sink().where("batch = 4").count() == 0
 
 
+def test_change_feed_with_tied_times_gives_the_rows_of_changed_files(spark, tmp_path):
+    rng = random.Random(8)
+    obs = [(i, "ix", rng.choice(["f1", "f2", "f3"]), None, 1, f"s{rng.randint(0, 2)}", at(rng.randint(0, 8)), "clash") for i in range(60)]
+    states = [(1, "failed", 2), (2, "ok", 2), (3, "ok", 4), (4, None, 7), (5, "failed", 7), (6, "ok", 7), (7, "ok", 9)]
+    runs = [(i, "ix", at(m), None, status, None, None, 0, 9) for i, status, m in states]
+    want = {(r["run_id"], r["obs_id"]) for r in changes.changed_files(spark.createDataFrame(obs, OBS), spark.createDataFrame(runs, RUNS)).collect()}
+
+    def fails(_):
+        raise RuntimeError("lost")
+
+    log, got = changes.change_log(spark.createDataFrame(obs, OBS)).cache(), set()
+    for i, status, m in states:
+        feed = changes.ChangeFeed(spark, str(tmp_path / "s"), "last_file", "version", ("offset_us", "obs_id"), partitions=2)
+        seen = log.where(F.col("offset_us") <= F.unix_micros(F.lit(at(m))))
+        if status == "ok":
+            n = feed.run(seen)
+            got |= {(i, r["obs_id"]) for r in feed.sink().where(F.col("batch") == n).collect()}
+        else:
+            with pytest.raises(RuntimeError):
+                feed.run(seen, fails)
+    assert got == want
+
+
+def test_change_feed_takes_late_ties_and_refuses_equal_offsets(spark, tmp_path):
+    df = lambda r: spark.createDataFrame(r, "k string, v string, t long, i long")
+    feed = changes.ChangeFeed(spark, str(tmp_path / "a"), "k", "v", ("t", "i"), partitions=1)
+    feed.run(df([("f", "a", 5, 1)]))
+    feed.run(df([("f", "a", 5, 1), ("f", "b", 5, 2)]))
+    assert [r["v"] for r in feed.sink().where("batch = 2").collect()] == ["b"]
+    with pytest.raises(ValueError):
+        changes.ChangeFeed(spark, str(tmp_path / "b"), "k", "v", "t").run(df([("f", "a", 5, 1), ("f", "b", 5, 2)]))
+
+
 def test_ordered_operators(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", None]), i * rng.choice([1, 1, 3]), rng.choice([None, None, i]), 5) for i in range(400)]
