@@ -153,13 +153,21 @@ def solid(atoms: Iterable[str]) -> int:
     return sum(a != "*" for a in atoms)
 
 
+def _has_layout(atoms: Iterable[str]) -> bool:
+    atoms = list(atoms)
+    return atoms[0] == "line" and "indent" not in atoms[:2] and _positional(atoms[1:]) is not None
+
+
 def merge_templates(weighted: list[tuple[tuple[str, ...], int]], tau: float = TAU) -> dict[tuple[str, ...], int]:
-    """Cluster sequences of one block by LCS until no two templates can be joined. The order of merging is fixed by weight."""
+    """Cluster sequences of one block by LCS until no two templates can be joined. The order of merging is fixed by weight.
+
+    A merge that would leave the heavier template without a layout is not made: one stray line must not cost a layout its headers.
+    """
     templates: list[list] = []
     for atoms, n in sorted(weighted, key=lambda x: (-x[1], len(x[0]), x[0])):
         for t in templates:
             common = lcs(t[0], atoms)
-            if solid(common) >= tau * min(solid(t[0]), solid(atoms)):
+            if solid(common) >= tau * min(solid(t[0]), solid(atoms)) and (_has_layout(common) or not _has_layout(t[0])):
                 t[0], t[1] = tuple(common), t[1] + n
                 break
         else:

@@ -200,6 +200,15 @@ def test_log_entries_from_mined_layouts(spark):
     assert logparse.layouts_of((empty, "log_vector")) == [] and logparse.log_entries(empty, []).count() == 0
 
 
+def test_a_stray_line_does_not_cost_a_layout_its_headers():
+    header = logparse.atoms_of("2024-02-16 12:47:01 [INFO] core: flushed pages")
+    stray = logparse.atoms_of("2024-02-16 12:47:01 INFO one two three four five")
+    assert logparse.block_of(header) == logparse.block_of(stray)
+    found = logparse.merge_templates([(header, 1_000_000), (stray, 1)])
+    kept = logparse.classify([{"template": list(t), "n": n} for t, n in found.items()])
+    assert max(k["n"] for k in kept) >= 1_000_000
+
+
 def test_common_subsequences_keep_order_and_mark_gaps():
     assert logparse.lcs(("a", "b", "c", "d"), ("a", "x", "c", "d")) == ["a", "*", "c", "d"]
     assert logparse.unescape('said \\"a\\" \\u00e9\\n') == 'said "a" é\n'
