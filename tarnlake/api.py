@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.strptime import java_pattern
 from .operators import search as S
-from .plans.planner import candidate_row_groups, literals_of
 from .session import cut
 from .sources import lines as L
 from .sources import store
 
 MB = 1 << 20
 RESULT = "split int, file string, line_no long, rg long, epoch long, log string"
+COLUMNS = [f.split()[0] for f in RESULT.split(", ")]
+#: Splits that are written and committed together.
+SPLITS_A_JOB = 64
+#: The next wave of splits that a search reads is this many times the last.
+WAVE = 4
 
 
 def index_logs(
@@ -29,56 +31,63 @@ def index_logs(
     row_group: int = L.ROW_GROUP,
     codec: str = "zstd",
     overwrite: bool = False,
+    resume: bool = False,
+    splits_a_job: int = SPLITS_A_JOB,
 ) -> int:
-    """Index all files of a directory; intervals are in MB. Returns the number of splits. An existing index is refused unless ``overwrite``."""
-    if store.exists(spark, index_name):
+    """Index all files of a directory; intervals are in MB. Returns the number of splits.
+
+    An existing index is refused unless ``overwrite`` or ``resume``; the latter writes only the splits that a broken run did not commit, if the directory is still as it
+    was. Splits are written and committed ``splits_a_job`` at a time.
+    """
+    if store.exists(spark, index_name) and not resume:
         if not overwrite:
             raise FileExistsError(f"{index_name} exists")
-        fs, where = store._fs(spark, index_name)
-        fs.delete(where, True)
+        store.remove(spark, index_name)
     planned = store.plan_files(store.list_files(spark, directory), index_interval * MB, compaction_interval * MB)
     if not planned:
         return 0
-    numbered = store.ingest_group(spark, planned, prefix_bytes, java_pattern(prefix_format) if prefix_format else None, row_group)
-    store.write_split(numbered, index_name, row_group, codec)
-    return planned[-1][2] + 1
+    n = planned[-1][2] + 1
+    done = set(store.splits_of(spark, index_name))
+    todo = [s for s in range(n) if s not in done]
+    pattern = java_pattern(prefix_format) if prefix_format else None
+    for i in range(0, len(todo), splits_a_job):
+        part = todo[i : i + splits_a_job]
+        numbered = store.ingest_group(spark, [f for f in planned if f[2] in set(part)], prefix_bytes, pattern, row_group)
+        store.write_split(numbered, index_name, row_group, codec, splits=part)
+    return n
 
 
 def search(spark: SparkSession, index_path: str, query: str, limit: int, mode: str = "literal", distinct: bool = False) -> DataFrame:
-    """At most ``limit`` lines that hold the query, newest split first, then by line number; splits are read until there are enough.
+    """At most ``limit`` lines that hold the query, newest split first, then by line number.
 
+    Splits are read in waves, each WAVE times as many as the last, until there are enough lines; a wave is one job over the index and one over the lines of all its splits.
     With ``distinct`` a line counts once over all splits read and comes from the newest split that holds it.
     The index only leaves out row groups that hold none. An index without answer, or none at all, gives an empty frame.
     """
-    parts, have = [], 0
-    for split in store.splits_of(spark, index_path):
-        index = store.load_index(spark, index_path, split)
-        lines = spark.read.parquet(f"{index_path}/lines").where(F.col("split") == split)
-        candidates = candidate_row_groups(index, literals_of(query, mode))
-        found = S.bruteforce(S.restrict(lines, candidates), query, mode)
+    known = store.commits(spark, index_path)
+    order, held, size = list(known), None, 1
+    while order:
+        wave, order = order[:size], order[size:]
+        size *= WAVE
+        found = S.search_index(spark, index_path, query, mode, {n: known[n] for n in wave}).select(*COLUMNS)
         if distinct:
-            found = found.groupBy("log").agg(F.min_by(F.struct(*[c for c in found.columns if c != "log"]), "line_no").alias("r")).select("r.*", "log")
-            for newer in parts:
-                found = found.join(newer.select("log"), "log", "left_anti")
-            found = cut(found.orderBy("line_no").limit(limit - have))  # at most ``limit`` rows in all, and no newer split is read again
-        parts.append(found.select(*[f.split()[0] for f in RESULT.split(", ")]))
-        have += found.limit(limit - have).count()
-        if have >= limit:
-            break
-    if not parts:
-        return spark.createDataFrame([], RESULT)
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.orderBy(F.desc("split"), "line_no").limit(limit)
+            newest = F.min_by(F.struct(*[c for c in COLUMNS if c != "log"]), F.struct(-F.col("split"), "line_no"))
+            found = found.groupBy("log").agg(newest.alias("r")).select("r.*", "log").select(*COLUMNS)
+            if held is not None:
+                found = found.join(held.select("log"), "log", "left_anti").select(*COLUMNS)
+        whole = found if held is None else held.unionByName(found)
+        whole = whole.orderBy(F.desc("split"), "line_no").limit(limit)
+        if not order:
+            return whole
+        held = cut(whole)  # at most ``limit`` lines, so no newer split is read again
+        if held.count() >= limit:
+            return held.orderBy(F.desc("split"), "line_no")
+    return spark.createDataFrame([], RESULT)
 
 
 def explain_search(spark: SparkSession, index_path: str, query: str, mode: str = "literal") -> list[tuple[int, int, int]]:
-    """(split, row groups, row groups that would be read): how far the index narrows a query."""
-    out = []
-    for split in store.splits_of(spark, index_path):
-        n = spark.read.parquet(f"{index_path}/lines").where(F.col("split") == split).agg(F.max("rg")).first()[0] + 1
-        candidates = candidate_row_groups(store.load_index(spark, index_path, split), literals_of(query, mode))
-        out.append((split, n, n if candidates is None else candidates.count()))
-    return out
+    """(split, row groups, row groups that are candidates): how far the index narrows a query."""
+    return [(p.split, p.row_groups, p.n_kept) for p in S.prune(spark, index_path, store.commits(spark, index_path), query, mode)]
 
 
 def compact_split(spark: SparkSession, index_path: str, splits: list[int], into: str, target: int = 0, row_group: int = L.ROW_GROUP) -> None:

@@ -58,13 +58,25 @@ def compile_format(fmt: str) -> re.Pattern | None:
     return re.compile("".join(out), re.ASCII) if seen - {""} else None
 
 
+#: What ``java_pattern`` gives for a format that is an epoch number in seconds.
+EPOCH_SECONDS = "%s"
+# Spark datetime letters of strptime directives.
+JAVA = {
+    "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "e": "d", "j": "DDD", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "z": "xx", "Z": "z",
+    "b": "MMM", "B": "MMMM", "h": "MMM", "a": "EEE", "A": "EEEE", "n": " ", "t": " ", "%": "'%'",
+}
+
+
 def java_pattern(fmt: str) -> str:
-    """The format as a Spark datetime pattern, for JVM-side parsing of a format known in advance."""
-    names = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "e": "d", "j": "DDD", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "z": "xx", "Z": "z", "b": "MMM", "B": "MMMM", "a": "EEE", "%": "'%'"}
+    """The format as a Spark datetime pattern, for JVM-side parsing of a format known in advance; EPOCH_SECONDS if it is %s alone. Other directives are refused."""
     for _ in range(2):
         fmt = re.sub(r"%([TRDFrc])", lambda m: SHORTHAND[m[1]], fmt)
-    out = re.sub(r"%(.)|([A-Za-z]+)|(')", lambda m: names[m[1]] if m[1] else (f"'{m[2]}'" if m[2] else "''"), fmt)
-    return out.replace("''", "''")
+    if fmt.strip() == EPOCH_SECONDS:
+        return EPOCH_SECONDS
+    unknown = [d for d in re.findall(r"%(.)", fmt) if d not in JAVA]
+    if unknown:
+        raise ValueError(f"directives {unknown} of {fmt!r} are not supported at ingest")
+    return re.sub(r"%(.)|([A-Za-z]+)|(')", lambda m: JAVA[m[1]] if m[1] else (f"'{m[2]}'" if m[2] else "''"), fmt)
 
 
 def number_to_us(number: int, fraction: str | None = None) -> int | None:

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from .functions import charclass, textstats
 from .functions.regexlit import required_literals, tree_json
 from .operators import search, substrings, templates, tokens
 from .operators.ordered import fill_forward
 from .plans import planner
-from .session import cut, table
+from .session import cut, shared_folder, table
 from .sources import lines as L
+from .sources import store
+from .streaming import tail
 
 RG = 500
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,42 +99,130 @@ def num_row_groups(spark, sf):
     return doc_lines(spark, sf).agg((F.expr(f"max(line_no) div {RG}") + 1).alias("n_row_groups"), F.count("*").alias("n_lines"))
 
 
-@query(f"""with {LOGS}, b as (select line_id, octet_length(encode(log)) + 1 n from lg),
-    s as (select line_id, n, sum(n) over (order by line_id) upto from b) select line_id, ((upto - n) // 65536)::bigint chunk from s""")
-def assign_chunks(spark, sf):
-    sized = log_lines(spark, sf).select("line_id", (F.octet_length("log") + 1).cast("long").alias("n"))
-    return L.cut_units(sized, ["line_id"], "n", 65_536, "chunk").select("line_id", "chunk")
+def _unit_sql(name: str, source: str, size: str, order: str, limit: int, unit: str, by: str = "") -> str:
+    """A recursive CTE ``name``: each row of ``source`` in order adds its size to the unit it is in; once that reaches the limit the next row begins a new one."""
+    over, same = (f"partition by {by} order by {order}", f" and s.{by} = c.{by}") if by else (f"order by {order}", "")
+    keep = f"{by}, " if by else ""
+    return f"""{name}_k as (select *, row_number() over ({over}) k from {source}),
+    {name}_c as (select {keep}k, 0::bigint {unit}, {size}::bigint held from {name}_k where k = 1
+      union all select {"c." + keep if by else ""}s.k, case when c.held >= {limit} then c.{unit} + 1 else c.{unit} end, case when c.held >= {limit} then s.{size} else c.held + s.{size} end
+      from {name}_c c join {name}_k s on s.k = c.k + 1{same}),
+    {name} as (select * from {name}_k join {name}_c using ({keep}k))"""
+
+
+SIZES = f"recursive {LOGS}, f as (select file_name, sum(octet_length(encode(log)) + 1)::bigint n_bytes from lg group by 1)"
+GROUPS = f"{SIZES}, {_unit_sql('g', 'f', 'n_bytes', 'encode(file_name)', 32_768, 'group_id')}"
+SPLITS = f"{GROUPS}, t as (select group_id, sum(n_bytes)::bigint n_bytes from g group by 1), {_unit_sql('sp', 't', 'n_bytes', 'group_id', 131_072, 'split')}"
+LINE_SIZES = f"recursive {LOGS}, b as (select file_name, line_no, line_id, (octet_length(encode(log)) + 1)::bigint n from lg)"
 
 
-def _groups(spark, sf):
-    files = log_lines(spark, sf).groupBy("file_name").agg(F.sum(F.octet_length("log") + 1).alias("n_bytes"))
-    return L.cut_units(files, ["file_name"], "n_bytes", 32_768, "group_id")
+@query(f"with {LINE_SIZES}, {_unit_sql('ch', 'b', 'n', 'line_no, line_id', 4096, 'chunk', 'file_name')} select line_id, chunk from ch")
+def assign_chunks(spark, sf):
+    sized = log_lines(spark, sf).select("file_name", "line_no", "line_id", (F.octet_length("log") + 1).cast("long").alias("n"))
+    return L.assign_chunks(sized, ["file_name"], ["line_no", "line_id"], "n", 4096).select("line_id", F.col("chunk"))
 
 
-GROUPS = LOGS + """, f as (select file_name, sum(octet_length(encode(log)) + 1)::bigint n_bytes from lg group by 1),
-    g as (select *, ((sum(n_bytes) over (order by encode(file_name)) - n_bytes) // 32768)::bigint group_id from f)"""
-SPLITS = GROUPS + """, t as (select group_id, sum(n_bytes)::bigint n_bytes from g group by 1),
-    sp as (select group_id, n_bytes, ((sum(n_bytes) over (order by group_id) - n_bytes) // 131072)::bigint split from t)"""
+def _listing(spark, sf):
+    """File names and sizes in order, as a directory would list them."""
+    per = log_lines(spark, sf).groupBy("file_name").agg(F.sum(F.octet_length("log") + 1).alias("n_bytes"))
+    return [(r["file_name"], r["n_bytes"], 0) for r in per.orderBy("file_name").toLocalIterator()]
 
 
 @query(f"with {GROUPS} select file_name, n_bytes, group_id from g")
 def plan_groups(spark, sf):
-    return _groups(spark, sf)
+    return spark.createDataFrame(L.cut_units([x[:2] for x in _listing(spark, sf)], 32_768), "file_name string, n_bytes long, group_id long")
 
 
-def _splits(spark, sf):
-    totals = _groups(spark, sf).groupBy("group_id").agg(F.sum("n_bytes").alias("n_bytes"))
-    return L.cut_units(totals, ["group_id"], "n_bytes", 131_072, "split")
+@query(f"with {SPLITS} select file_name, group_id, split from g join (select group_id, split from sp) using (group_id)")
+def plan_files(spark, sf):
+    return spark.createDataFrame(store.plan_files(_listing(spark, sf), 32_768, 131_072), "file_name string, group_id long, split long")
 
 
 @query(f"with {SPLITS} select group_id, n_bytes, split from sp")
 def plan_splits(spark, sf):
-    return _splits(spark, sf)
+    held: dict[int, int] = {}
+    for _, n, g in L.cut_units([x[:2] for x in _listing(spark, sf)], 32_768):
+        held[g] = held.get(g, 0) + n
+    return spark.createDataFrame([(int(g), n, s) for g, n, s in L.cut_units([(str(g), n) for g, n in held.items()], 131_072)], "group_id long, n_bytes long, split long")
+
+
+def _log_folder(spark, sf) -> str:
+    """A folder of text files with the log lines, written once a session; their names hold blanks and percent signs."""
+    folder = shared_folder(spark, f"logs-{abs(hash(sf))}")
+    if store.exists(spark, f"{folder}/_done"):
+        return folder
+    store.remove(spark, folder)
+    store.remove(spark, f"{folder}-parts")
+    rows = log_lines(spark, sf).select(F.regexp_replace("file_name", "[^A-Za-z0-9.-]", " %").alias("name"), "line_no", "line_id", "log")
+    placed = rows.repartition("name").sortWithinPartitions("name", "line_no", "line_id").select("name", F.col("log").alias("value"))
+    placed.write.partitionBy("name").text(f"{folder}-parts")
+    fs, parts = store._fs(spark, f"{folder}-parts")
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path_of(folder))
+    for k, one in enumerate(sorted((s.getPath() for s in fs.listStatus(parts) if s.isDirectory()), key=lambda p: p.getName())):
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(one.getName()[5:])
+        (file,) = [s.getPath() for s in fs.listStatus(one) if s.getPath().getName().startswith("part-")]
+        fs.rename(file, path_of(folder, name))
+        fs.setTimes(path_of(folder, name), 1_700_000_000_000 + 1000 * k, -1)
+    store.remove(spark, f"{folder}-parts")
+    store.write_marker(spark, f"{folder}/_done", {})
+    return folder
+
+
+NAMED = LOGS + """, nm as (select line_id, regexp_replace(file_name, '[^A-Za-z0-9.-]', ' %', 'g') file, line_no p, log from lg),
+    pieces as (select file, p, line_id, unnest(string_split(log, chr(10))) log, generate_subscripts(string_split(log, chr(10)), 1) i from nm),
+    fl as (select * from pieces where log <> '')"""
+
+
+@query(f"with {NAMED} select file, log, row_number() over (order by encode(file), p, line_id, i) - 1 line_no, (row_number() over (order by encode(file), p, line_id, i) - 1) // 100 rg from fl")
+def ingest_files(spark, sf):
+    """Index a folder of files, in one split, and read the lines back."""
+    index = shared_folder(spark, "ingest-files")
+    store.remove(spark, index)
+    files = store.list_files(spark, _log_folder(spark, sf))
+    planned = [(p, 0, 0) for p, *_ in files]
+    store.write_split(store.ingest_group(spark, planned, row_group=100), index, 100, splits=[0])
+    return store.committed(spark, index, "lines").select("file", "log", "line_no", "rg")
+
+
+@query(f"with {NAMED}, ex as (select *, epoch(try_strptime(substr(log, 1, 19), '%Y-%m-%d %H:%M:%S'))::bigint s from fl), ep as (select *, case when s >= 946684800 and s < 2524608000 then s end e from ex) select file, log, coalesce(last_value(e ignore nulls) over (partition by file order by p, line_id, i rows unbounded preceding), 0) epoch, row_number() over (order by encode(file), p, line_id, i) - 1 line_no from ep")
+def ingest_epochs(spark, sf):
+    """The same with the time of each line, or of the last valid one before it in its file."""
+    files = store.list_files(spark, _log_folder(spark, sf))
+    return store.ingest_group(spark, [(p, 0, 0) for p, *_ in files], 19, "yyyy-MM-dd HH:mm:ss", 100).select("file", "log", "epoch", "line_no")
+
+
+@query(f"with {NAMED} select file, log, count(*) n from fl where file <> (select file from fl order by encode(file) desc limit 1) group by 1, 2")
+def tail_index(spark, sf):
+    """Tail mode over a copy of the folder: all files but the one written last are moved, indexed in several splits, and the splits merged."""
+    base = shared_folder(spark, "tail")
+    store.remove(spark, base)
+    fs, source = store._fs(spark, _log_folder(spark, sf))
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path_of(f"{base}/in"))
+    for path, _, modified in store.list_files(spark, _log_folder(spark, sf)):
+        target = path_of(f"{base}/in", store.name_of(path))
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path_of(path), fs, target, False, spark._jsc.hadoopConfiguration())
+        fs.setTimes(target, modified, -1)
+    tail.settle(spark, f"{base}/in", f"{base}/inbox")
+    tail.start_tail(spark, f"{base}/inbox", f"{base}/ix", 1, row_group=100, once=True, compaction_bytes=1).awaitTermination()
+    return store.committed(spark, f"{base}/ix", "lines").groupBy("file", "log").agg(F.count("*").alias("n"))
+
+
+@query(f"with {BASE} select rg // 32 split, count(*) n_lines, count(distinct rg) n_row_groups from ll group by 1")
+def list_splits(spark, sf):
+    """The committed splits of a stored index, as its commits tell."""
+    rows = [(n, c["lines"], c["row_groups"]) for n, c in store.commits(spark, stored(spark, sf)).items()]
+    return spark.createDataFrame(rows, "split long, n_lines long, n_row_groups long")
 
 
-@query(f"with {SPLITS} select split, count(*) n_groups, sum(n_bytes)::bigint n_bytes from sp group by 1")
-def list_splits(spark, sf):
-    return _splits(spark, sf).groupBy("split").agg(F.count("*").alias("n_groups"), F.sum("n_bytes").alias("n_bytes"))
+@query(f"with {BASE} select doc_id::varchar file, line_no, rg, log from ll")
+def compact_index(spark, sf):
+    """Merge all splits of a stored index into one and read it back: row groups are numbered on, nothing is lost."""
+    into = shared_folder(spark, "compacted")
+    store.remove(spark, into)
+    store.compact_splits(spark, stored(spark, sf), store.splits_of(spark, stored(spark, sf)), into, 0, RG)
+    return store.committed(spark, into, "lines").select("file", "line_no", "rg", "log")
 
 
 @query()
@@ -185,9 +276,9 @@ def tokenize(spark, sf):
     return found.select("line_no", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), "|").alias("found"))
 
 
-@query(f"with {TOKENS} select type, token, array_to_string(rgs, ',') rgs from ix")
+@query(f"with {TOKENS}, sg as (select type, token, rg // {tokens.SEGMENT} segment, list_sort(list(distinct rg)) rgs from m group by 1, 2, 3) select type, token, segment, array_to_string(rgs, ',') rgs from sg")
 def inverted_index(spark, sf):
-    return doc_index(spark, sf).select("type", "token", joined())
+    return doc_index(spark, sf).select("type", "token", "segment", joined())
 
 
 @query(f"with {TOKENS} select type, count(*) n_tokens from ix group by 1")
@@ -222,10 +313,11 @@ def dictionary_tokens(spark, sf):
     return planned(spark, sf)[1].dictionary.select("type", "token")
 
 
-@query("select token, group_id, posting_id from postings where group_id % 2 = 0 union all select token, group_id, posting_id from postings where group_id % 2 = 1")
+@query("select token, group_id, posting_id, row_number() over (order by encode(token) nulls first, group_id nulls first, posting_id nulls first) - 1 as rank from postings")
 def merge_sorted(spark, sf):
     rows = table(spark, sf, "postings").select("token", "group_id", "posting_id")
-    return tokens.merge_sorted([rows.where("group_id % 2 = 0"), rows.where("group_id % 2 = 1")], ["token", "group_id", "posting_id"])
+    even = F.coalesce(F.col("group_id") % 2, F.lit(0)) == 0
+    return tokens.merge_sorted([rows.where(even), rows.where(~even)], ["token", "group_id", "posting_id"])
 
 
 @query(f"with {TOKENS}, s as (select type, token, len(rgs) n, sum(len(rgs)) over (partition by type order by encode(token)) upto from ix) select type, token, (upto - n)::bigint as begin, upto::bigint as \"end\" from s")
@@ -298,51 +390,68 @@ def outlier_lines(spark, sf):
 # Search
 
 
-LITERAL, REGEX, PHRASE, RARE = "seasonal window", "hid(es|den) the (site|plot)", "splits the interval", "load_kw_9"
+LITERAL, REGEX, PHRASE, RARE = "rebuild of index", "heartbeat from m(30|28) (missed|received)", "segment 5 for shard", "load_kw_9"
+
+
+def stored(spark, sf) -> str:
+    """A stored index of the document lines in splits of 32 row groups, built once a session in the folder for checkpoints."""
+    path = shared_folder(spark, f"index-{abs(hash(sf))}")
+    if not store.splits_of(spark, path):
+        lines = doc_lines(spark, sf).select(F.expr("cast(rg div 32 as int)").alias("split"), F.col("doc_id").cast("string").alias("file"), "line_no", "rg", F.lit(None).cast("long").alias("epoch"), "log")
+        store.write_split(lines, path, RG)
+    return path
+
+
+def _found(spark, sf, text: str, mode: str = "literal") -> DataFrame:
+    return search.search_index(spark, stored(spark, sf), text, mode).select(F.col("file").cast("long").alias("doc_id"), "line_no", "log", "split")
 
 
 @query(f"with {BASE} select doc_id, line_no, log from ll where contains(log, '{LITERAL}')")
 def search_bruteforce(spark, sf):
-    return search.bruteforce(doc_lines(spark, sf), LITERAL).select("doc_id", "line_no", "log")
+    return search.bruteforce(store.committed(spark, stored(spark, sf), "lines"), LITERAL).select(F.col("file").cast("long").alias("doc_id"), "line_no", "log")
 
 
 @query(ORACLES["search_bruteforce"])
 def search_pruned(spark, sf):
-    return search.pruned(*planned(spark, sf), LITERAL).select("doc_id", "line_no", "log")
+    return _found(spark, sf, LITERAL).drop("split")
 
 
 @query(f"with {BASE} select doc_id, line_no, log from ll where contains(log, '{RARE}')")
 def search_literal(spark, sf):
-    return search.pruned(*planned(spark, sf), RARE).select("doc_id", "line_no", "log")
+    return _found(spark, sf, RARE).drop("split")
 
 
 @query(f"with {BASE} select doc_id, line_no, log from ll where regexp_matches(log, '{REGEX}')")
 def search_regex(spark, sf):
-    return search.pruned(*planned(spark, sf), REGEX, "regex").select("doc_id", "line_no", "log")
+    return _found(spark, sf, REGEX, "regex").drop("split")
 
 
 @query(f"with {BASE} select doc_id, line_no, log from ll where contains(log, '{PHRASE}')")
 def search_phrase(spark, sf):
-    return search.pruned(*planned(spark, sf), PHRASE).select("doc_id", "line_no", "log")
+    return _found(spark, sf, PHRASE).drop("split")
 
 
 @query(f"with {BASE} select doc_id, line_no, log from ll where contains(log, '{LITERAL}') order by line_no desc limit 25")
 def search_topk(spark, sf):
-    found = search.pruned(*planned(spark, sf), LITERAL)
-    return search.topk(found, [F.desc("line_no")], 25).select("doc_id", "line_no", "log")
+    return search.topk(_found(spark, sf, LITERAL), [F.desc("line_no")], 25).drop("split")
+
 
+@query(f"with {BASE} select doc_id, line_no, log from (select *, rg // 32 split from ll where contains(log, '{LITERAL}')) order by split desc, line_no limit 30")
+def search_limit(spark, sf):
+    """The public search: newest split first, whatever number of splits it has to read."""
+    return api.search(spark, stored(spark, sf), LITERAL, 30).select(F.col("file").cast("long").alias("doc_id"), "line_no", "log")
 
-@query(f"""with {BASE}, h as (select *, doc_id // 100 split from ll where contains(log, '{LITERAL}')),
+
+@query(f"""with {BASE}, h as (select *, rg // 32 split from ll where contains(log, '{LITERAL}')),
     c as (select split, coalesce(sum(count(*)) over (order by split desc rows between unbounded preceding and 1 preceding), 0) prior from h group by split)
     select doc_id, line_no, split from h where split in (select split from c where prior <= 40)""")
 def search_soft_limit(spark, sf):
-    found = search.pruned(*planned(spark, sf), LITERAL).withColumn("split", F.expr("doc_id div 100"))
-    return search.soft_limit(found, "split", 40).select("doc_id", "line_no", "split")
+    return search.soft_limit(_found(spark, sf, LITERAL), "split", 40).select("doc_id", "line_no", F.col("split").cast("long").alias("split"))
 
 
 @query(f"with {BASE} select distinct log from ll where contains(log, '{LITERAL}')")
 def search_distinct(spark, sf):
-    return search.distinct_lines(search.pruned(*planned(spark, sf), LITERAL))
+    return search.distinct_lines(_found(spark, sf, LITERAL))
 
 
 CODES = ("window", "zzzz", "Epoch", "load_kw_9", "e", "Traceback", "91")
@@ -353,7 +462,7 @@ CODES = ("window", "zzzz", "Epoch", "load_kw_9", "e", "Traceback", "91")
     select q as query, case when exists (select 1 from d where contains(token, q)) then 0
       when (select count(distinct r) from (select unnest(rgs) r from o where contains(token, q))) >= 10 then 1 else 2 end::bigint code from q""")
 def search_plan_code(spark, sf):
-    return spark.createDataFrame(planner.plan_code(planned(spark, sf)[1], list(CODES), 10), "query string, code long")
+    return planner.plan_code(planned(spark, sf)[1], spark.createDataFrame([(c,) for c in CODES], "query string"), 10)
 
 
 @query(f"with {TOKENS} select type, token, array_to_string(rgs, ',') rgs from kept where contains(token, 'kw_9')")
@@ -361,16 +470,33 @@ def postings_lookup(spark, sf):
     return planner.lookup(planned(spark, sf)[1].lists(), [planner.Piece("kw_9", True, True)]).select("type", "token", joined())
 
 
-@query(f"""with {TOKENS}, w as (select 0 piece, token, rgs, len(rgs) > 0.5 * (select n from nr) common from ix where ends_with(token, 'splits')
-      union all select 1, token, rgs, len(rgs) > 0.5 * (select n from nr) from ix where token = 'the' union all select 2, token, rgs, len(rgs) > 0.5 * (select n from nr) from ix where starts_with(token, 'sensor.')),
-    u as (select piece from w group by 1 having not bool_or(common)), h as (select distinct piece, unnest(rgs) rg from w where piece in (select piece from u))
+TWO = "opened segment"
+
+
+@query(f"""with {TOKENS}, w as (select 0 piece, token, rgs, len(rgs) > 0.5 * (select n from nr) common from ix where ends_with(token, 'opened')
+      union all select 1, token, rgs, len(rgs) > 0.5 * (select n from nr) from ix where starts_with(token, 'segment')),
+    u as (select piece from (select unnest([0, 1]) piece) where piece not in (select piece from w where common)), h as (select distinct piece, unnest(rgs) rg from w where piece in (select piece from u))
     select rg from h group by 1 having count(*) = (select count(*) from u)
     union all select distinct rg from ll where not exists (select 1 from u)""")
 def candidate_row_groups(spark, sf):
-    found = planner.candidate_row_groups(planned(spark, sf)[1], ["splits the sensor."])
+    found = planner.candidate_row_groups(planned(spark, sf)[1], [TWO])
     return found if found is not None else doc_lines(spark, sf).select("rg").distinct()
 
 
+GRAMS = TOKENS + f""",
+ur as (select distinct rg // 32 split, rg, chr(10) || token || chr(10) t from m),
+gr as (select split, rg, substr(t, i, {tokens.GRAM}) gram from (select split, rg, t, unnest(range(1, length(t) - {tokens.LEAST} + 2)) i from ur)),
+sn as (select rg // 32 split, count(distinct rg) n from ll group by 1),
+gx as (select split, gram, list_sort(list(distinct rg)) rgs from gr group by 1, 2)"""
+
+
+@query(f"with {GRAMS} select split, gram, case when len(rgs) <= 0.5 * n then array_to_string(rgs, ',') end rgs from gx join sn using (split)")
+def gram_postings(spark, sf):
+    """The substring index as stored: grams of framed tokens and their row groups, none for grams in most row groups of their split."""
+    grams = store.committed(spark, stored(spark, sf), "grams")
+    return grams.select(F.col("split").cast("long").alias("split"), "gram", joined())
+
+
 @query(f"with {TOKENS} select type, token from ix where starts_with(token, 'load_')")
 def token_prefix(spark, sf):
     return doc_index(spark, sf).where(planner.Piece("load_", False, True).matches(F.col("token"))).select("type", "token")
@@ -388,20 +514,34 @@ def token_exact(spark, sf):
 
 @query(f"with {BASE} select log from ll where contains(log, '{LITERAL}') union all select log from ll where contains(log, '{RARE}')")
 def union_results(spark, sf):
-    lines, index = planned(spark, sf)
-    return search.pruned(lines, index, LITERAL).select("log").unionByName(search.pruned(lines, index, RARE).select("log"))
+    return _found(spark, sf, LITERAL).select("log").unionByName(_found(spark, sf, RARE).select("log"))
+
+
+def _pruning_sql() -> str:
+    keys = planner.gram_keys([RARE])
+    rows = ", ".join(f"('{k}')" for k in keys)
+    return f"""with {GRAMS}, k as (select key from (values {rows}) t(key)),
+    hit as (select split, key, rgs, len(rgs) > 0.5 * n common from gx join sn using (split) join k on case when length(key) < {tokens.GRAM} then starts_with(gram, key) else gram = key end),
+    cm as (select split, count(distinct key) nc from hit where common group by 1),
+    ps as (select distinct split, key, unnest(rgs) rg from hit h where not exists (select 1 from hit c where c.split = h.split and c.key = h.key and c.common)),
+    ok as (select split, rg from ps group by 1, 2 having count(*) = {len(keys)} - coalesce((select nc from cm where cm.split = ps.split), 0)),
+    needed as (select split, count(distinct rg) n_needed from (select rg // 32 split, rg from ll where contains(log, '{RARE}')) group by 1)
+    select sn.split, sn.n n_row_groups, case when coalesce(nc, 0) = {len(keys)} then sn.n else coalesce((select count(*) from ok where ok.split = sn.split), 0) end n_candidates, coalesce(n_needed, 0) n_needed, true as is_sound
+    from sn left join cm using (split) left join needed using (split)"""
 
 
-@query(f"""with {BASE}, h as (select distinct rg from ll where contains(log, '{RARE}')) select (select count(distinct rg) from ll) n_row_groups, (select count(*) from h) n_needed, true as is_sound""")
+@query(_pruning_sql())
 def pruning_stats(spark, sf):
-    """Row groups in all, row groups with an answer, and whether every one of these is among the candidates."""
-    lines, index = planned(spark, sf)
-    candidates = planner.candidate_row_groups(index, [RARE])
-    needed = search.bruteforce(lines, RARE).select("rg").distinct()
-    lost = needed.join(candidates, "rg", "left_anti").agg(F.count("*").alias("lost")) if candidates is not None else spark.createDataFrame([(0,)], "lost long")
-    counts = lines.agg(F.count_distinct("rg").alias("n_row_groups")).first()[0]
-    n = needed.count()
-    return lost.select(F.lit(counts).cast("long").alias("n_row_groups"), F.lit(n).cast("long").alias("n_needed"), (F.col("lost") == 0).alias("is_sound"))
+    """For each split: its row groups, those the index leaves for a rare word, those that hold it, and whether every one of these is left."""
+    path = stored(spark, sf)
+    left = search.prune(spark, path, store.commits(spark, path), RARE)
+    rows = [(p.split, p.row_groups, p.n_kept, p.kept) for p in left]
+    per = spark.createDataFrame(rows, "split int, n_row_groups long, n_candidates long, kept array<long>")
+    hits = search.bruteforce(store.committed(spark, path, "lines"), RARE).groupBy("split").agg(F.collect_set("rg").alias("needed"))
+    both = per.join(hits, "split", "left")
+    needed = F.coalesce("needed", F.array().cast("array<bigint>"))
+    sound = F.col("kept").isNull() | (F.size(F.array_except(needed, "kept")) == 0)
+    return both.select(F.col("split").cast("long").alias("split"), "n_row_groups", "n_candidates", F.size(needed).cast("long").alias("n_needed"), sound.alias("is_sound"))
 
 
 # Substring structures
@@ -489,9 +629,12 @@ def regex_literals(spark, sf):
     return spark.createDataFrame([(p, "|".join(required_literals(p))) for p in patterns], "pattern string, literals string")
 
 
+TREES = ("a*b*c", "(a|b)c", "ab*")
+
+
 @query()
 def regex_tree(spark, sf):
-    return spark.createDataFrame([(p, tree_json(p)) for p in ("a*b*c", "(a|b)c", "ab*")], "pattern string, tree string")
+    return spark.createDataFrame([(p, tree_json(p)) for p in TREES], "pattern string, tree string")
 
 
 ORACLES["regex_literals"] = """select * from (values ('abc', 'abc'), ('a*bc', 'bc'), ('x(yz)w', 'xyzw'), ('(a|b)cd', 'cd'), ('a.b', ''), ('fo*bar', 'f|bar'), ('(ab)*', '')) t(pattern, literals)"""

@@ -9,8 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A lookup side is broadcast only if a count proves it at most this many rows.
-BROADCAST_ROWS = 50_000
+#: A lookup side is broadcast only if its measured size is at most this.
+BROADCAST_BYTES = 8 << 20
+#: Input of one part where rows are dealt out.
+SPREAD_BYTES = 32 << 20
 
 
 def build_session(app: str = "tarnlake", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -35,14 +37,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where that is unset."""
+    """Use the folder the cluster names in spark.checkpoint.dir; where that is unset a local session makes one and a cluster is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"tarnlake-{os.getpid()}-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application under the checkpoint folder, for tables that are written once and read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the shared folder, so lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,19 +60,36 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """An input in fewer splits than there are cores is dealt out before costly work on each row; a large input stays where it is read."""
+    """Deal out rows before costly work on each, if they are read in fewer splits than there are cores: into one part a core, and no part larger than SPREAD_BYTES of input.
+
+    Spark cuts files into as many splits as there are cores, but never inside a Parquet row group; only an input of few row groups is coarser than that. Any other stays where it is read.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(max(cores, -(-size // SPREAD_BYTES)))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values as they lie in memory: 16 a value, and the length of what is written as text."""
+    size = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], salt_from, salts: int = 16, how: str = "left") -> DataFrame:
     """Join ``small`` (one row per key) to ``big`` so that a key holding a third of ``big`` is no one task's work.
 
-    Keys match null-safely. If a count shows that ``small`` has at most BROADCAST_ROWS rows it is broadcast. Beyond that both sides are shuffled,
-    ``small`` once for each of ``salts`` and each row of ``big`` to the salt of ``salt_from``, which should tell rows of one key apart.
+    Keys match null-safely. ``small`` is evaluated once to measure it: cut it first if it is dear. At BROADCAST_BYTES or less it is broadcast. Beyond that both sides
+    are shuffled, ``small`` once for each of ``salts`` and each row of ``big`` to the salt of ``salt_from``, which should tell rows of one key apart.
     """
     right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if measured_bytes(right) <= BROADCAST_BYTES:
         return big.join(F.broadcast(right), _same(big, right, keys), how).drop(*[f"__{k}" for k in keys])
     right = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = big.withColumn("__salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
