@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import cut
-from .ordered import fill_forward
+from .ordered import carry_forward
 
 #: Share of the shorter sequence that a common subsequence must cover for two to be of one layout.
 TAU = 0.75
@@ -400,17 +400,17 @@ def layouts_of(*sources: tuple[DataFrame, str]) -> list[dict]:
     return classify(mine_layouts(lines, "line"))
 
 
-def log_entries(lines: DataFrame, layouts: list[dict], file: str = "file_name", pos: str = "line_no", line_id: str = "line_id", text: str = "log_vector", block: int = 4096) -> DataFrame:
+def log_entries(lines: DataFrame, layouts: list[dict], file: str = "file_name", pos: str = "line_no", line_id: str = "line_id", text: str = "log_vector") -> DataFrame:
     """Entries of files: (line_id of the first line, n_lines, ts_text, log_level, component, message).
 
     A header line begins an entry; later lines of its file belong to it up to the next header; lines before the first header belong to none. A null line
-    is a continuation. Each line_id counts once. A file of any length is scanned in blocks of line numbers, joined by one summary row a block; an entry
+    is a continuation. Each line_id counts once. A file of any length spreads over range partitions that are chained by one row each; an entry
     of any length is counted by partial sums.
     """
     rows = lines.select(F.col(line_id).alias("line_id"), F.col(file).alias("file_name"), F.col(pos).alias("line_no"), F.col(text).alias("line")).dropDuplicates(["line_id"])
     parsed = cut(parse_lines(rows, "line", layouts).drop("line"))
     parsed = parsed.withColumn("__head", F.when(F.col("message").isNotNull(), F.col("line_id")))
-    placed = fill_forward(parsed, ["file_name"], "line_no", "__head", "entry", block, [F.col("line_id")])
+    placed = carry_forward(parsed, ["file_name"], ["line_no", "line_id"], "__head", "entry")
     head = F.when(F.col("__head").isNotNull(), F.struct(*FIELDS))
     return placed.where("entry is not null").groupBy(F.col("entry").alias("line_id")).agg(F.count("*").alias("n_lines"), F.max(head).alias("__f")).select("line_id", "n_lines", "__f.*")
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import changes, instants, logparse, skew
-from .session import table
+from .session import shared_folder, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.changed_files(table(spark, sf, "tail_files"), table(spark, sf, "index_runs")).select("run_id", "obs_id")
+    """One batch of a new feed over all that has arrived: plan, process, commit, then what the sink holds."""
+    feed = changes.RunFeed(spark, shared_folder(spark, f"feed-{uuid.uuid4().hex}"))
+    feed.advance(changes.with_arrival(table(spark, sf, "tail_files")), table(spark, sf, "index_runs"))
+    return feed.processed().select("run_id", "obs_id")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from . import api
 from .functions import charclass, textstats
 from .functions.regexlit import required_literals, tree_json
 from .operators import search, substrings, templates, tokens
-from .operators.ordered import fill_forward
+from .operators.ordered import carry_forward
 from .plans import planner
 from .session import cut, shared_folder, table
 from .sources import lines as L
@@ -605,7 +605,7 @@ def prefix_check(spark, sf):
     select file_name, max(abs(epoch_ts - prior)) max_delta, count(*) n from (select file_name, epoch_ts, lag(epoch_ts, 1, 0) over (partition by file_name order by line_no) prior from d) group by 1""")
 def max_delta(spark, sf):
     rows = table(spark, sf, "log_lines").where("epoch_ts is not null").dropDuplicates(["line_id"]).select("file_name", "line_no", "epoch_ts")
-    prior = fill_forward(rows, ["file_name"], "line_no", "epoch_ts", "prior", strict=True)
+    prior = carry_forward(rows, ["file_name"], ["line_no"], "epoch_ts", "prior", strict=True)
     return prior.groupBy("file_name").agg(F.max(F.abs(F.col("epoch_ts") - F.coalesce("prior", F.lit(0)))).alias("max_delta"), F.count("*").alias("n"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.strptime import EPOCH_SECONDS
-from ..operators.ordered import fill_forward, running_total
+from ..operators.ordered import carry_forward, running_total
 
 ROW_GROUP = 100_000
 ROW_GROUPS_A_FILE = 10
@@ -86,12 +86,12 @@ def stamp_lines(numbered: DataFrame, prefix: int, pattern: str) -> DataFrame:
     """
     raw = numbered.withColumn("__raw", extract_epoch(F.col("log"), prefix, pattern))
     last = raw.groupBy("split", "file", "rg").agg(F.max_by("__raw", F.when(F.col("__raw").isNotNull(), F.col("line_no"))).alias("__last"))
-    carry = fill_forward(last, ["split", "file"], "rg", "__last", "__carry", strict=True)
-    carry = carry.select(*[F.col(c).alias(f"__r_{c}") for c in ("split", "file", "rg")], "__carry")
+    carry = carry_forward(last, ["split", "file"], ["rg"], "__last", "__held", strict=True)
+    carry = carry.select(*[F.col(c).alias(f"__r_{c}") for c in ("split", "file", "rg")], "__held")
     on = (raw["split"] == carry["__r_split"]) & (raw["file"] == carry["__r_file"]) & (raw["rg"] == carry["__r_rg"])
     placed = raw.join(carry, on, "left").repartitionByRange("split", "rg")
     w = Window.partitionBy("split", "rg", "file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    epoch = F.coalesce(F.last("__raw", ignorenulls=True).over(w), "__carry", F.lit(0))
+    epoch = F.coalesce(F.last("__raw", ignorenulls=True).over(w), "__held", F.lit(0))
     return placed.select("split", "file", "line_no", "rg", epoch.alias("epoch"), "log")
 
 
@@ -145,4 +145,4 @@ def extract_epoch(log: Column, prefix: int, pattern: str) -> Column:
 
 def backfill(df: DataFrame, file: str, pos: str, epoch: str, out: str = "epoch") -> DataFrame:
     """An invalid time takes the last valid one before it in its file, else 0."""
-    return fill_forward(df, [file], pos, epoch, out).withColumn(out, F.coalesce(out, F.lit(0)))
+    return carry_forward(df, [file], [pos], epoch, out).withColumn(out, F.coalesce(out, F.lit(0)))

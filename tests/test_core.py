@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import charclass, regexlit, strptime
 from tarnlake.operators import changes, instants, logparse, skew, substrings, templates, tokens
-from tarnlake.operators.ordered import fill_forward, running_total
+from tarnlake.operators.ordered import carry_forward, running_total
 from tarnlake.plans import planner
 
 T0 = dt.datetime(2024, 1, 1)
@@ -117,13 +117,64 @@ def test_change_feed_takes_late_ties_and_refuses_equal_offsets(spark, tmp_path):
         changes.ChangeFeed(spark, str(tmp_path / "b"), "k", "v", "t").run(df([("f", "a", 5, 1), ("f", "b", 5, 2)]))
 
 
+@pytest.mark.parametrize("step", ["plan", "process", "write", "commit"])
+def test_run_feed_over_arrivals_with_a_failure_at_each_step(spark, tmp_path, monkeypatch, step):
+    rng = random.Random(11)
+    obs = [(i, rng.choice(["hot", "hot", "nosum"]), rng.choice(["f1", "f2", "f3", None]), at(rng.randint(0, 3)), rng.randint(0, 2), f"s{rng.randint(0, 2)}", at(i // 3), "clash") for i in range(120)]
+    obs = [o[:5] + (None,) + o[6:] if o[1] == "nosum" else o for o in obs]
+    runs = [(i, rng.choice(["hot", "nosum"]), at(2 * i + 1), None, rng.choice(["ok", "ok", "failed", None]), None, None, 0, 9) for i in range(20)]
+    table, state, got = str(tmp_path / "obs"), str(tmp_path / "state"), None
+    for part in range(3):
+        upto = at(13 * (part + 1))
+        rows = [o for o in obs if at(13 * part) <= o[6] < upto or part == 2 and o[6] >= upto]
+        spark.createDataFrame(rows + rows[:5], OBS).coalesce(1).write.mode("append").parquet(table)
+        known = spark.createDataFrame([r for r in runs if r[2] < upto or part == 2], RUNS)
+        feed = lambda: changes.RunFeed(spark, state, partitions=3)  # noqa: E731, B023
+        arrived = lambda: changes.with_arrival(spark.read.parquet(table))
+        if part == 1:
+            real, calls = changes.ChangeFeed._write, []
+
+            def fails(self, name, content, real=real, calls=calls):
+                calls.append(name)
+                if name.startswith("plans" if step == "plan" else "commits"):
+                    raise RuntimeError("lost")
+                return real(self, name, content)
+
+            if step in ("plan", "commit"):
+                monkeypatch.setattr(changes.ChangeFeed, "_write", fails)
+            elif step == "process":
+                monkeypatch.setattr(changes, "place", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            else:
+                monkeypatch.setattr(changes, "_cases", lambda c: c.select(F.raise_error(F.lit("lost")).cast("long").alias("run_id")))
+            with pytest.raises(Exception, match="lost"):
+                feed().advance(arrived(), known)
+            monkeypatch.undo()
+        feed().advance(arrived(), known)
+        got = [(r["run_id"], r["obs_id"]) for r in feed().processed().collect()]
+        assert len(got) == len(set(got))
+    assert set(got) == expected_changes(obs, runs)
+    assert feed().advance(arrived(), known) == 4 and feed().processed().where("batch = 4").count() == 0
+
+
+def test_a_late_record_is_not_passed_over(spark, tmp_path):
+    df = lambda r: spark.createDataFrame(r, "k string, v string, t long, arrived long")
+    feed = changes.ChangeFeed(spark, str(tmp_path / "a"), "k", "v", "arrived", partitions=1, order=["t"])
+    rows = [("f", "a", 10, 1), ("g", "a", 10, 2)]
+    feed.run(df(rows))
+    rows += [("h", "late", 9, 3), ("f", "tie", 10, 4)]
+    feed.run(df(rows))
+    assert {(r["k"], r["v"]) for r in feed.sink().where("batch = 2").collect()} == {("h", "late"), ("f", "tie")}
+    feed.run(df([*rows, ("f", "tie", 11, 5)]))
+    assert feed.sink().where("batch = 3").count() == 0 and feed.state()["held"].count() == 3
+
+
 def test_ordered_operators(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", None]), i * rng.choice([1, 1, 3]), rng.choice([None, None, i]), 5) for i in range(400)]
     rows = list({(r[0], r[1]): r for r in rows}.values())
     df = spark.createDataFrame(rows, "k string, p long, v long, __pid long").drop("__pid")
-    for block, strict in ((8, False), (10, True), (4096, True)):
-        got = {(r["k"], r["p"]): r["x"] for r in fill_forward(df, ["k"], "p", "v", "x", block, strict=strict, levels=3).collect()}
+    for parts, strict in ((7, False), (5, True), (None, True)):
+        got = {(r["k"], r["p"]): r["x"] for r in carry_forward(df, ["k"], ["p"], "v", "x", strict, parts).collect()}
         last = {}
         for k, p, v, _ in sorted(rows, key=lambda r: r[1]):
             seen = last.get(k)
@@ -133,6 +184,13 @@ def test_ordered_operators(spark):
     for k in ("a", None):
         for i, p in enumerate(sorted(r[1] for r in rows if r[0] == k), 1):
             assert total[(k, p)] == 2 * i
+    # a value carried over partitions that hold none, small Arrow batches, repeated rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    long = spark.createDataFrame([("z", i, 1 if i == 3 else None) for i in range(60)] * 2, "k string, p long, v long")
+    assert {r["x"] for r in carry_forward(long, ["k"], ["p"], "v", "x", partitions=9).where("p > 3").collect()} == {1}
+    assert running_total(long.withColumn("n", F.lit(1)), [], ["p"], "n", "s", 9).agg(F.max("s"), F.count_distinct("s")).first() == (120, 120)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert carry_forward(df.limit(0), ["k"], ["p"], "v", "x").count() == 0
     assert running_total(df.limit(0).withColumn("n", F.lit(1)), ["k"], ["p"], "n", "s", 3).count() == 0
 
 
@@ -192,7 +250,7 @@ def test_log_entries_from_mined_layouts(spark):
     rows += rows[::7]
     df = spark.createDataFrame(rows, "line_id long, file_name string, line_no long, log_vector string, entry int").repartition(3)
     layouts = logparse.layouts_of((df, "log_vector"))
-    got = {r["line_id"]: [r["n_lines"], r["log_level"], r["component"], r["message"]] for r in logparse.log_entries(df, layouts, block=8).collect()}
+    got = {r["line_id"]: [r["n_lines"], r["log_level"], r["component"], r["message"]] for r in logparse.log_entries(df, layouts).collect()}
     assert got == want
     single = {r["line_id"]: r["message"] for r in logparse.single_lines(df.where("line_id < 5"), layouts, text="log_vector").collect()}
     assert single[0] == "at early.part(X.java:3)"
