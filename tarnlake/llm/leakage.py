@@ -1,10 +1,10 @@
 """Passages of held-out items inside training documents, by spaced-seed hashing.
 
 A seed is a mask over consecutive words that ignores some positions, so a passage with a few substituted words still hits. The hashes of every item's
-windows under each mask are joined with the hashes of every document's windows; around each hit the diagonal is compared word by word.
-A mask of two or more words misses some pattern of substitutions, so where equal words on a diagonal are asked for, whatever stands between them, the
-seeds are single words and a diagonal is compared if enough of them fall on it: that loses none.
-Items come in blocks of bounded size, so what a task holds of them does not grow with their number; documents are never shuffled.
+windows under each mask are joined with the hashes of every document's windows; around each hit the diagonal is compared word by word, in a window.
+TOLERANT masks are a lossless family: whichever WINDOW - MIN_WORDS words of WINDOW are substituted, one of the masks fits between them (a test tries
+all of these patterns). So a passage with MIN_WORDS equal words within WINDOW is always found.
+The corpus is scanned once, whatever the number of items, and never shuffled; the items' tables are built once, in blocks, and broadcast.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from ..session import spread
 WORD = re.compile(r"[^\W_]+")
 #: Masks over consecutive words: 1 is compared, 0 ignored. None is longer than the passage to be found, so every exact passage hits every mask.
 MASKS = ("110110101101", "101101110011")
+#: Words of a diagonal in which MIN_WORDS equal ones make a passage with substitutions.
+WINDOW = 18
+#: Every way to substitute 6 of 18 words leaves a place for one of these.
+TOLERANT = ("10111", "1100101", "1111", "11011")
 #: Consecutive equal words that make a passage.
 MIN_WORDS = 12
-#: Items are broadcast in blocks of at most this many words.
+#: Items are indexed in blocks of at most this many words.
 BLOCK_WORDS = 2_000_000
-#: Hits of single words that are held at once, where a text is longer than a few items.
-HITS = 4_000_000
 
 SCHEMA = "doc_id long, item_id long, run_words int, matched int, compared int, doc_word int, item_word int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *[(c, pa.int32()) for c in ("run_words", "matched", "compared", "doc_word", "item_word")]])
@@ -65,11 +67,6 @@ class SeedIndex:
             h = self.hashes(self.stream, j)[at]
             order = np.argsort(h, kind="stable")
             self.tables.append((h[order], at[order]))
-        # The places of each word, for seeds of one word.
-        self.word_place = np.argsort(self.stream, kind="stable")
-        self.word_count = np.bincount(self.stream, minlength=len(self.vocabulary))
-        self.word_start = np.cumsum(self.word_count) - self.word_count
-        self.longest = int(np.diff([*self.begin, len(stream)]).max(initial=0))
         # A quick test for windows: the low bits of every hash that occurs.
         self.filters = []
         for h, _ in self.tables:
@@ -90,41 +87,21 @@ class SeedIndex:
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def matched_diagonals(self, words: np.ndarray, least: int, hits: int = HITS) -> np.ndarray:
-        """(item, diagonal) of all diagonals with at least ``least`` equal words: the hits of single words, counted by diagonal.
-
-        A diagonal that begins at word b of a document ends within the longest item from there, so a long document is counted in pieces by b.
-        """
-        at = np.flatnonzero(words >= 0)
-        counts = self.word_count[words[at]]
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        begin = np.array(self.begin, np.int64)
-        found, todo = [np.zeros((0, 2), np.int64)], [(1 - self.longest, len(words))]
-        while todo:
-            a, b = todo.pop()
-            i, j = np.searchsorted(at, [a, b + self.longest - 1])
-            n = int(upto[j] - upto[i])
-            if n < least:
-                continue
-            if n > hits and b - a > 4 * self.longest:
-                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
-                continue
-            rep = np.repeat(np.arange(i, j), counts[i:j])
-            place = self.word_place[self.word_start[words[at[rep]]] + np.arange(n) - (upto[rep] - upto[i])]
-            owner = self.owner[place]
-            starts = at[rep] - place + begin[owner]
-            inside = (starts >= a) & (starts < b)
-            keys = np.sort(owner[inside] * (b - a) + starts[inside] - a)
-            keys = np.unique(keys[least - 1 :][keys[least - 1 :] == keys[: len(keys) - least + 1]])
-            owner = keys // (b - a)
-            found.append(np.stack([owner, keys % (b - a) + a - begin[owner]], axis=1))
-        return np.concatenate(found)
-
-
-def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
-    """Per item hit in one document: (item, longest equal run, equal words, compared words, where in the document, where in the item).
-
-    Of the diagonals that are long or equal enough, each by itself, the one with the longest run.
+
+def best_window(same: np.ndarray, width: int) -> tuple[int, int]:
+    """(equal words, first place) of the window of ``width`` words, or of all if there are fewer, that holds most equal words; the first of equal ones."""
+    if len(same) <= width:
+        return int(same.sum()), 0
+    upto = np.concatenate([[0], np.cumsum(same)])
+    held = upto[width:] - upto[:-width]
+    i = int(held.argmax())
+    return int(held[i]), i
+
+
+def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: int | None = None, window: int = WINDOW) -> list[tuple[int, int, int, int, int, int]]:
+    """Per item hit in one document: (item, longest equal run, equal words of the best window, words of that window, where it begins in the document and in the item).
+
+    Of the diagonals that have a long enough run or a window with enough equal words, each by itself, the one with the longest run. Without ``min_matched`` the place is that of the run.
     """
     hits = []
     for j in range(len(index.masks)):
@@ -151,8 +128,6 @@ def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: in
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         hits.append(np.stack([at[rep], place[lo[rep] + inside]], axis=1))
     diagonals = [np.stack([index.owner[h[:, 1]], h[:, 0] - h[:, 1]], axis=1) for h in hits]
-    if min_matched is not None:
-        diagonals.append(index.matched_diagonals(words, max(min_matched, 1)))
     if not diagonals:
         return []
     # One comparison a (item, diagonal): all hits on it lie in the same overlap of document and item.
@@ -169,35 +144,33 @@ def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: in
         if not len(runs):
             continue
         i = int(runs.argmax())
-        matched = int(same.sum())
+        matched, at = (int(runs[i]), int(edge[2 * i])) if min_matched is None else best_window(same, window)
         if runs[i] < min_run and (min_matched is None or matched < min_matched):
             continue
-        row = (int(runs[i]), matched, hi - lo, lo + int(edge[2 * i]) + d, lo + int(edge[2 * i]) - begin)
+        row = (int(runs[i]), matched, int(runs[i]) if min_matched is None else min(window, hi - lo), lo + at + d, lo + at - begin)
         if k not in best or row > best[k]:
             best[k] = row
     return [(index.ids[k], *row) for k, row in best.items()]
 
 
-def passages(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, min_run: int = MIN_WORDS, min_matched: int | None = None, masks: tuple[str, ...] = MASKS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def passages(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, min_run: int = MIN_WORDS, min_matched: int | None = None, window: int = WINDOW, masks: tuple[str, ...] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, run_words, matched, compared, doc_word, item_word) of every document and item that share a passage.
 
-    A pair is kept if its longest run of equal consecutive words has at least ``min_run`` words or, with ``min_matched``, if that many words are equal
-    on one diagonal of the overlap (substitutions allowed); its row is of the diagonal with the longest run among those that meet one of the two. Every exact passage of at least the masks' span is found; a shorter ``min_run`` than the span
-    is refused. Every diagonal with ``min_matched`` equal words is found too, however they are spread over it; the time for that grows with the number
-    of equal words of all documents and items, which a hot word can make large. Null texts and ids match nothing; repeated items count once; repeated document rows give repeated results.
-    Texts are read whole, whatever their length.
+    A pair is kept if its longest run of equal consecutive words has at least ``min_run`` words or, with ``min_matched``, if some ``window`` consecutive words of a diagonal hold that
+    many equal ones (substitutions allowed); its row is of the diagonal with the longest run among those that meet one of the two. matched and compared are of the window that holds
+    most, doc_word and item_word where it begins (without ``min_matched``: of the run). Every exact passage of at least the masks' span is found; a shorter
+    ``min_run`` than the span is refused. With the masks TOLERANT every window with MIN_WORDS of WINDOW equal words is found too; other masks, or less equal words, may lose some.
+    Null texts and ids match nothing; repeated items count once; repeated document rows give repeated results. Texts are read whole, whatever their length.
     """
+    masks = masks or (MASKS if min_matched is None else TOLERANT)
     if min_run < max(map(len, masks)):
         raise ValueError("a mask longer than the passage would miss it")
     known = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(passage).alias("t")).distinct()
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = spread(docs)
-    out = None
-    for block in item_blocks(known, block_words):
-        shared = documents.sparkSession.sparkContext.broadcast((block, masks))
-        part = docs.mapInArrow(_searcher(shared, min_run, min_matched), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else documents.sparkSession.createDataFrame([], SCHEMA)
+    shared = [documents.sparkSession.sparkContext.broadcast(SeedIndex(block, masks)) for block in item_blocks(known, block_words)]
+    if not shared:
+        return documents.sparkSession.createDataFrame([], SCHEMA)
+    return spread(docs).mapInArrow(_searcher(shared, min_run, min_matched, window), SCHEMA)
 
 
 def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -214,14 +187,14 @@ def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield block
 
 
-def _searcher(shared, min_run: int, min_matched: int | None):
+def _searcher(shared: list, min_run: int, min_matched: int | None, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(*shared.value)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = index.encode(words_of(text))
-                rows += [(doc, *row) for row in _overlaps(index, words, min_run, min_matched)]
+                found = words_of(text)
+                for block in shared:
+                    rows += [(doc, *row) for row in _overlaps(block.value, block.value.encode(found), min_run, min_matched, window)]
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)
 
