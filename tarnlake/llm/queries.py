@@ -13,14 +13,17 @@ from .oracles import ORACLES  # noqa: F401
 
 def _chunk_runs(spark: SparkSession, sf: str) -> DataFrame:
     chunk = table(spark, sf, "chunk_lines")
-    layouts = logparse.layouts_of((chunk, "column_0"))
-    parsed = logparse.parse_lines(chunk.select("line_id", "chunk_id", "line_pos", "chunk_eids", "column_0", "ts").dropDuplicates(["line_id"]), "column_0", layouts)
-    message = runs.normal_message(F.coalesce("message", logparse.plain(F.col("column_0"))))
-    return runs.event_runs(parsed.withColumn("msg", message), "chunk_id", "line_pos", "line_id", "chunk_eids", "msg", "ts")
+    parser = logparse.Parser(logparse.layouts_of((chunk, "column_0")))
+
+    def message(line: str) -> str | None:
+        found = parser.parse(line)
+        return runs.normal_message(found[3] if found else logparse.clean(line))
+
+    return runs.event_runs(chunk, "chunk_id", "line_pos", "line_id", "chunk_eids", "column_0", "ts", message)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    ms = F.coalesce(F.floor((F.unix_micros("t1") - F.unix_micros("t0")) / 1000), F.lit(0)).cast("long")
+    ms = F.coalesce(F.floor((F.col("t1") - F.col("t0")) / 1000), F.lit(0)).cast("long")
     return _chunk_runs(spark, sf).where("n_events >= 2").select("chunk_id", F.col("first_id").alias("first_line_id"), "n_events", ms.alias("duration_ms"))
 
 
@@ -55,7 +58,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Also passages with substituted words: at least 12 equal words on one diagonal."""
+    """Also passages with substituted words: at least 12 equal of 18 consecutive words."""
     return _passages(spark, sf, min_matched=leakage.MIN_WORDS)
 
 
@@ -75,7 +78,17 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.outlier_scores(table(spark, sf, "documents"))
 
 
+def p10_word_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.word_ranks(table(spark, sf, "documents"))
+
+
+def p9_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source of each mix meets its budget within half a document, keeps its cap and has the share that was reported."""
+    drawn, plan = mixing.draw(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    return mixing.audit(drawn, plan)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p4_found, p4_top_tokens, p6_found, p6_term_frequencies, p8_found, p8_overlaps, p9_mix, p9_shares, p10_found, p10_statistics)
+    for f in (p2_found, p4_found, p4_top_tokens, p6_found, p6_term_frequencies, p8_found, p8_overlaps, p9_mix, p9_shares, p9_budgets, p10_found, p10_statistics, p10_word_ranks)
 }
