@@ -1,12 +1,14 @@
 """Kinds of lines in a flattened notebook: prose, code, list, table, junk; whole texts, line by line in the context of their block.
 
 A block is a stretch of lines without blank line or cell mark. Lines with a plain sign (a table's cells, a trace, encoded bytes) are told alone; short
-entries are a list only in company; words without any function word are shuffled text.
+entries are a list only in company. Prose is told by the shape of its sentences and, as one feature more, by function words of four languages; a row of words that has
+neither is shuffled text.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 # Function words of the four languages; a natural sentence of some length holds at least one.
@@ -34,7 +36,12 @@ QUOTED_CSV = re.compile(r"^\s*\"[^\"]*\"(?:[;,\t]\"[^\"]*\")+\s*$")
 GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 ODD = re.compile("[\ufffd\u00c2\u00c3\u00a9\u00b6\u20ac\u2122\u00a4\u00a6\u00ac\u00a2\u00a3\u00a5\u00a7\u0153]|\u00e2(?=[^a-z])")  # what wrongly decoded bytes look like
 CODE = re.compile(r"\w\(.*\)\s*(?:[{:;,]|$)|\w\S*\s(?:=|<-|:=|\+=|\|>)\s|^\s*(?:def|for|while|if|elif|else|import|from|return|class|function|using|library|end|try|except|with)\b.*[:({;]?$(?<=[:({;)\]])|^\s*@\w|^\s*return \S+$|\w\$\w|;\s*$|[})]\s*$(?<=[({\[].[})])")
-VOWELS = frozenset("aeiouyäöüáéíóúàâèêëîïôùûœæ")
+#: Letters that carry a syllable: a to y and every Latin letter built on one of them.
+VOWELS = frozenset("aeiouyæœøı") | {chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0].lower() in "aeiouy"}
+LAST_LATIN = "\u024f"
+#: What ends a sentence, and an end of one followed by the beginning of the next.
+ENDS = ".!?…。！？"
+NEXT = re.compile(r"[^\W\d_]{2,}[.!?…][\"'»”)]* +[\"'«“(¿¡]*[^\W\d_a-z]")
 
 
 PLAIN = re.compile(r"[^|\t<>{};&\\█%=$@`]+")
@@ -52,10 +59,26 @@ def garbled(line: str, words: list[str], fn: int) -> bool:
         return True
     if fn:
         return False
-    long = [w for w in words if len(w) >= 2]
+    long = [w for w in words if len(w) >= 2 and w[0] <= LAST_LATIN]  # other scripts write syllables in their own way
     return len(long) >= 3 and sum(map(VOWELS.isdisjoint, long)) > 0.6 * len(long)
 
 
+def begins(text: str) -> bool:
+    """Whether the first letter begins a sentence: a capital, or a letter of a script that has none."""
+    first = next((c for c in text if c.isalpha()), "a")
+    return not first.islower()
+
+
+def shaped(text: str, n_words: int) -> bool:
+    """Whether a text has the shape of sentences in whatever language: a beginning and an end, or an end with a beginning after it; several words, or a script without blanks between words."""
+    text = text.rstrip("\"'»”)")
+    if not text or not PLAIN.fullmatch(text):
+        return False
+    if n_words >= 4 and (NEXT.search(text) or text[-1] in ENDS and begins(text)):
+        return True
+    return text[-1] in ENDS and sum(c > "\u2e80" for c in text) >= 6
+
+
 def line_kind(line: str) -> str:
     """What a line says about itself: junk, trace, table, cells, item, sentence, entry, words, odd or code."""
     s = line.strip()
@@ -107,6 +130,8 @@ def line_kind(line: str) -> str:
         return "item"
     if not words:
         return "odd"
+    if shaped(s, n_words):
+        return "sentence"
     if n_words <= 6 and len(s) <= 60 and s[-1] not in ".!?":
         return "entry"
     return "words"
@@ -164,6 +189,11 @@ def _block(lines: list[str], code: bool) -> dict[str, int]:
     for i in range(1, n):
         if lines[i] == lines[i - 1] and kinds[i] not in ("table", "cells"):
             kinds[i] = kinds[i - 1] = "junk"
+    # Lines of a paragraph that as a whole begins and ends like sentences are prose, wherever they were broken.
+    if n > 1 and "words" in kinds and all(k in ("words", "sentence", "entry") for k in kinds):
+        whole = " ".join(map(str.strip, lines))
+        if begins(whole) and whole.rstrip("\"'»”)")[-1:] in tuple(ENDS) and PLAIN.fullmatch(whole):
+            kinds = ["sentence"] * n
     count = {k: kinds.count(k) for k in set(kinds)}
     entries = count.get("entry", 0) + count.get("item", 0)
     cells = count.get("cells", 0) + count.get("table", 0)

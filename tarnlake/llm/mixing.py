@@ -109,3 +109,15 @@ def shares(drawn: DataFrame, plan: DataFrame) -> DataFrame:
     full = plan.join(got, ["mix_name", "source"], "left").join(whole, "mix_name", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return full.select("mix_name", "source", "target_share", "want_share", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("n_docs"), zero("most_copies"), F.col("cap").alias("max_copies"))
+
+
+def audit(drawn: DataFrame, plan: DataFrame) -> DataFrame:
+    """(mix_name, source, meets_budget, keeps_cap, no_repeats): whether a source's tokens miss its budget by at most half its largest document, no document is drawn more often than its cap
+    allows, and each stands once in the mix; a source without budget must have nothing. All of them hold for every mix ``draw`` gives."""
+    got = drawn.groupBy("mix_name", "source").agg(
+        F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("n_tokens").alias("largest"), F.max("copies").alias("most"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")
+    )
+    full = plan.join(got, ["mix_name", "source"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    miss = 2 * F.abs(zero("tokens") - F.col("budget"))
+    return full.select("mix_name", "source", (miss <= F.greatest(zero("largest"), F.lit(1))).alias("meets_budget"), (zero("most") <= F.greatest(F.col("cap"), F.lit(0))).alias("keeps_cap"), (zero("n") == zero("ids")).alias("no_repeats"))

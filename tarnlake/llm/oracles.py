@@ -24,4 +24,10 @@ ORACLES = {
         d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ws from documents where text is not null),
         h as (select doc_id, array_to_string(ws[i:i + 11], ' ') gram from (select doc_id, ws, unnest(range(1, len(ws) - 10)) i from d))
         select distinct doc_id, item_id from h join g using (gram)""",
+    "p9_budgets": """
+        select distinct mix_name, lower(trim(source)) as source, true meets_budget, true keeps_cap, true no_repeats from mix_targets where trim(source) <> ''""",
+    "p10_word_ranks": """
+        with w as (select doc_id, coalesce(lower(trim(lang)), '') lang, coalesce(len(regexp_extract_all(text, '\\S+')), 0) n_words from documents where doc_id is not null)
+        select doc_id, lang, n_words, rank() over (partition by lang order by n_words) - 1 below,
+          count(*) over (partition by lang order by n_words range between unbounded preceding and current row) upto, count(*) over (partition by lang) total from w""",
 }

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, with nulls, ties, repeats, empty inputs and boundary cases."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -29,9 +30,9 @@ def expected_runs(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits,levels", [(1, 2), (2, 1), (10, 2)])
-def test_runs_join_over_block_boundaries(spark, bits, levels):
-    rng = random.Random(bits)
+@pytest.mark.parametrize("partitions", [1, 4, 60])
+def test_runs_join_over_chunk_boundaries(spark, partitions):
+    rng = random.Random(partitions)
     rows, i = [], 0
     for chunk in (1, 2, None):
         pos = 0
@@ -40,22 +41,44 @@ def test_runs_join_over_block_boundaries(spark, bits, levels):
             for _ in range(rng.choice([1, 2, 3, 25])):
                 rows.append((chunk, pos, i, eid if rng.random() < 0.8 else -2, msg, None, 0))
                 i, pos = i + 1, pos + rng.choice([1, 1, 4])
-    rows += rows[:30] + [(1, None, i, 5, "z", None, 0), (1, 5, None, 5, "z", None, 0)]
+    rows += rows[:30] + [(1, None, i + k, 5, "z", None, 0) for k in range(40)] + [(1, 5, None, 5, "z", None, 0)]
     df = spark.createDataFrame(rows, EVENT)
-    got = runs.event_runs(df, "chunk", "pos", "id", "eid", "msg", "ts", bits, levels)
-    found = [tuple(r) for r in got.select("chunk", F.col("first_id"), "n_events").collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = runs.event_runs(df, "chunk", "pos", "id", "eid", "msg", "ts", partitions=partitions)
+        found = [tuple(r) for r in got.select("chunk", F.col("first_id"), "n_events").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(found, key=str) == expected_runs(rows)
 
 
+def test_joining_runs_is_associative():
+    rng = random.Random(2)
+    same = lambda a, b: a[0] == b[0] and a[6] == b[5]
+    for _ in range(200):
+        events = [(rng.choice("kl"), i, 1, i, i, e, e) for i, e in enumerate(rng.choice("ab") for _ in range(9))]
+        fold = lambda xs: __import__("functools").reduce(lambda a, b: runs.join(a, [b], same), xs, [])
+        i, j = sorted(rng.sample(range(10), 2))
+        parts = [fold(events[:i]), fold(events[i:j]), fold(events[j:])]
+        left, right = runs.join(runs.join(*parts[:2], same), parts[2], same), runs.join(parts[0], runs.join(*parts[1:], same), same)
+        assert left == right == fold(events)
+
+
+def test_times_of_a_run(spark):
+    df = spark.sql("select 1L chunk, id pos, id, 4 eid, 'm' msg, if(id % 3 = 1, null, timestamp_micros(1000 * (50 - id))) ts from range(30)")
+    row = runs.event_runs(df, "chunk", "pos", "id", "eid", "msg", "ts", partitions=5).first()
+    assert (row["first_id"], row["n_events"], row["t0"], row["t1"]) == (0, 30, 21_000, 50_000)
+
+
 def test_normal_messages(spark):
     pairs = [("Waiting  for lock on /a/1.seg;", "waiting for LOCK on /b/22.seg"), ("a, b!", "A b"), ("x.", "x")]
     for a, b in pairs:
-        row = spark.range(1).select(runs.normal_message(F.lit(a)).alias("a"), runs.normal_message(F.lit(b)).alias("b")).first()
-        assert row["a"] == row["b"]
+        assert runs.normal_message(a) == runs.normal_message(b)
+    assert runs.normal_message(None) is None
     assert runs.event_runs(spark.createDataFrame([], EVENT), "chunk", "pos", "id", "eid", "msg", "ts").count() == 0
 
 
-@pytest.mark.parametrize("capacity", [8, 4096])
+@pytest.mark.parametrize("capacity", [12, 4096])
 def test_top_values_are_exact_even_if_the_summary_is_small(spark, capacity):
     rng = random.Random(4)
     values = [f"v{int(rng.paretovariate(0.7)) % 700}" for _ in range(6000)] + [None] * 50 + [""] * 900 + ["tie-b"] * 40 + ["tie-a"] * 40
@@ -65,7 +88,34 @@ def test_top_values_are_exact_even_if_the_summary_is_small(spark, capacity):
     want = sorted(Counter(v for v in values if v).items(), key=lambda x: (-x[1], x[0].encode()))[:12]
     assert got == want
     bounds = topk.top_values(df, "token", 12, capacity).collect()
-    assert all(r["approx_n"] <= r["n"] <= r["max_n"] for r in bounds)
+    assert all(r["least_n"] <= r["n"] <= r["most_n"] for r in bounds if r["least_n"] is not None)
+
+
+def test_top_values_of_a_flat_column_take_no_more_counters(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(topk, "merge_tree", lambda *a, real=topk.merge_tree: held.append(a[2]) or real(*a))
+    df = spark.range(30_000).selectExpr("concat('v', id) token").repartition(5)
+    got = [tuple(r) for r in topk.top_values(df, "token", 5, 64).select("value", "n").collect()]
+    assert sorted(got) == [(v, 1) for v in sorted(f"v{i}" for i in range(30_000))[:5]] and held == [64]
+    with pytest.raises(ValueError):
+        topk.top_values(df, "token", 5, 4)
+
+
+def test_summary_bounds_hold_for_every_value():
+    rng = random.Random(9)
+    parts, true = [], Counter()
+    for p in range(6):
+        held = topk.Summary(20)
+        for _ in range(30):
+            batch = Counter(f"v{int(rng.paretovariate(0.6)) % 400}" for _ in range(50))
+            true += batch
+            held.add(list(batch), list(batch.values()))
+        parts.append(held.frame(p))
+    whole = topk.merge(__import__("pandas").concat(parts), 20)
+    floor, found = int(whole["floor"].max()), {r.value: r for r in whole.itertuples() if r.value is not None}
+    assert len(found) == 20
+    for v, n in true.items():
+        assert found[v].n - found[v].error <= n <= found[v].n if v in found else n <= floor
 
 
 def test_top_values_of_little_or_nothing(spark):
@@ -150,15 +200,28 @@ def test_substituted_passages_are_found(spark):
     df, it = spark.createDataFrame([(1, " ".join(changed))], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(words))], "item_id long, question string")
     assert leakage.passages(df, it, "doc_id", "text", "item_id", "question").count() == 0
     row = leakage.passages(df, it, "doc_id", "text", "item_id", "question", min_matched=12).first()
-    assert (row["matched"], row["compared"], row["run_words"]) == (27, 30, 7)
+    assert (row["matched"], row["compared"], row["run_words"]) == (16, 18, 7)
 
 
-def matched_on_a_diagonal(doc, item):
+def test_the_tolerant_masks_lose_no_pattern_of_substitutions():
+    least, width = leakage.MIN_WORDS, leakage.WINDOW
+    placed = [sum(1 << (o + i) for i, c in enumerate(m) if c == "1") for m in leakage.TOLERANT for o in range(width - len(m) + 1)]
+    for equal in itertools.combinations(range(width), least):
+        bits = sum(1 << i for i in equal)
+        assert any(bits & p == p for p in placed)
+
+
+def matched_in_a_window(doc, item):
     a, b = leakage.words_of(doc), leakage.words_of(item)
-    return max((sum(a[j + d] == b[j] for j in range(max(0, -d), min(len(b), len(a) - d))) for d in range(1 - len(b), len(a))), default=0)
+    best = 0
+    for d in range(1 - len(b), len(a)):
+        same = [a[j + d] == b[j] for j in range(max(0, -d), min(len(b), len(a) - d))]
+        best = max([best, *(sum(same[i : i + leakage.WINDOW]) for i in range(max(1, len(same) - leakage.WINDOW + 1)))])
+    return best
 
 
 def test_substitutions_at_any_spacing_are_found(spark):
+    """Recall and precision against brute force over all diagonals are 1: every pair with 12 equal of 18 consecutive words, and no other."""
     rng = random.Random(3)
     items = [(i, " ".join(f"i{i}w{k}" if k % 3 else rng.choice("abcdef") for k in range(10 + 12 * i))) for i in range(7)]
     docs = []
@@ -167,16 +230,17 @@ def test_substitutions_at_any_spacing_are_found(spark):
             for keep in (0, 1):  # every spacing-th word replaced, or all others
                 w = [x if (k % spacing > 0) ^ keep else "other" for k, x in enumerate(text.split())]
                 docs.append((len(docs), " ".join([rng.choice("abcdef") for _ in range(rng.randint(0, 40))] + w[rng.randint(0, 5) :])))
+        for n in (1, 2, 3, 4, 6):  # 12 equal words and n substitutions anywhere between them
+            w = text.split()[: 12 + n]
+            if len(w) == 12 + n:
+                for k in rng.sample(range(1, 11 + n), n):
+                    w[k] = "other"
+                docs.append((len(docs), " ".join(["x"] * rng.randint(0, 9) + w + ["y"] * 5)))
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string")
-    want = {(d, i) for d, t in docs for i, q in items if matched_on_a_diagonal(t, q) >= 12}
+    want = {(d, i) for d, t in docs for i, q in items if matched_in_a_window(t, q) >= 12}
     for block_words in (2_000_000, 60):
         got = leakage.passages(df, it, "doc_id", "text", "item_id", "question", min_matched=12, block_words=block_words)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
-    index = leakage.SeedIndex(items, leakage.MASKS)
-    for _, t in docs:
-        words = index.encode(leakage.words_of(t) * 9)
-        whole, pieces = index.matched_diagonals(words, 12), index.matched_diagonals(words, 12, hits=50)
-        assert sorted(map(tuple, whole.tolist())) == sorted(map(tuple, pieces.tolist()))
 
 
 def test_each_diagonal_is_tested_before_the_best_is_chosen(spark):
@@ -185,7 +249,14 @@ def test_each_diagonal_is_tested_before_the_best_is_chosen(spark):
     chance = [w if k < 8 or k in (9, 10, 12) else "other" for k, w in enumerate(item[40:53])]
     df, it = spark.createDataFrame([(1, " ".join(chance + ["other"] * 200 + copy)), (2, " ".join(chance))], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, question string")
     rows = leakage.passages(df, it, "doc_id", "text", "item_id", "question", min_matched=12).collect()
-    assert [(r["doc_id"], r["run_words"], r["matched"], r["doc_word"], r["item_word"]) for r in rows] == [(1, 4, 80, 214, 1)]
+    assert [(r["doc_id"], r["run_words"], r["matched"], r["doc_word"], r["item_word"]) for r in rows] == [(1, 4, 15, 214, 1)]
+
+
+def test_scattered_words_of_a_long_item_are_no_passage(spark):
+    item = [f"w{i}" for i in range(120)]
+    doc = [w if k % 4 == 0 or k < 7 else "other" for k, w in enumerate(item)]
+    df, it = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, question string")
+    assert leakage.passages(df, it, "doc_id", "text", "item_id", "question", min_matched=12).count() == 0
 
 
 def test_mix_meets_its_weights_within_caps(spark):
@@ -233,6 +304,45 @@ def test_kinds_of_text():
     assert sum(blocks.kinds_of("").values()) == 0
 
 
+# Held-out texts: languages and subjects that no list in the library was made from.
+HELD_OUT = [
+    "Participants completed questionnaires before treatment started. Researchers later compared recovery rates between groups. Outcomes improved substantially during follow-up visits.",
+    "Czujniki mierzą temperaturę powietrza co godzinę. Wyniki zapisujemy w tabeli, którą potem analizujemy. Średnie wartości rosną latem.",
+    "Датчики измеряют температуру воздуха каждый час. Результаты записываются в таблицу, которую мы потом изучаем. Средние значения растут летом.",
+    "I sensori misurano temperatura, umidità, pressione ogni ora\nnelle stazioni costiere della regione settentrionale durante\nl'inverno. Valori medi crescono durante mesi estivi.",
+    "センサーは毎時気温を測定します。結果は表に記録され、後で分析されます。夏には平均値が上昇します。",
+    "Οι αισθητήρες μετρούν τη θερμοκρασία κάθε ώρα. Τα αποτελέσματα αποθηκεύονται σε πίνακα.",
+    "Anturit mittaavat ilman lämpötilaa joka tunti. Tulokset tallennetaan taulukkoon myöhempää analyysiä varten.",
+    "Các cảm biến đo nhiệt độ không khí mỗi giờ. Kết quả được lưu vào bảng để phân tích sau.",
+]
+HELD_OUT_ODD = {
+    "junk": ["temperatura umidità ogni stazioni pressione misurano sensori costiere durante nelle valori", "воздуха каждый измеряют час датчики температуру летом растут значения средние", "xkcd qwrtp zzklm bbvcx plmnk wrtsd " * 5],
+    "list": ["\n".join(f"- сенсор {i}" for i in range(12)), "\n".join(f"{i}) stacja morska" for i in range(12))],
+    "table": ["\n".join(f"| станция {i} | {i * 3} | летом |" for i in range(12)), "\n".join(f"wiersz{i};{i};{i * 2};tak" for i in range(12))],
+}
+
+
+def test_kinds_of_held_out_texts():
+    """Precision and recall on texts the rules were not made from: no prose is taken for another kind, every other text for its own."""
+    for text in HELD_OUT:
+        found = blocks.kinds_of(text)
+        assert max(found[k] for k in KINDS) <= 0.5 * len(text), (text, found)
+    for kind, texts in HELD_OUT_ODD.items():
+        for text in texts:
+            assert blocks.kinds_of(text)[kind] > 0.5 * len(text), (text, blocks.kinds_of(text))
+
+
+def test_tails_decide_who_is_a_candidate(spark):
+    rows = [(i, "en", 0.9 if i < 7 else 0.6 if i < 9 else 0.1) for i in range(10)] + [(i, "de", 0.0) for i in range(10, 40)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, list_share double")
+    ranked = [(d, sum(x >= v for _, m, x in rows if m == lang) / sum(m == lang for _, m, _ in rows), sum(x >= v for *_, x in rows) / len(rows)) for d, lang, v in rows]
+    tails = spark.createDataFrame(ranked, "doc_id long, tail_list double, all_list double")
+    zero = [F.lit(v).alias(c) for v, c in ((0.0, "table_share"), (0.0, "junk_share"), (1.0, "tail_table"), (1.0, "tail_junk"), (1.0, "all_table"), (1.0, "all_junk"))]
+    scored = stats.join(tails, "doc_id").select("*", *zero)
+    assert {r["doc_id"] for r in quality.odd_documents(scored).collect()} == set(range(9))
+    assert {r["doc_id"] for r in quality.odd_documents(scored.withColumn("all_list", F.lit(1.0))).collect()} == set()
+
+
 def test_outlier_scores(spark):
     docs = [(i, PROSE * (i % 4 + 1), "en" if i % 3 else " EN ", "clash") for i in range(30)]
     docs += [(100, KINDS["junk"][0], "en", ""), (101, KINDS["list"][0], "de", ""), (102, None, None, ""), (103, "", "de", ""), (104, "x" * 300_000, "en", ""), (None, "x", "en", "")]
