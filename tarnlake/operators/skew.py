@@ -9,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import BROADCAST_BYTES, cut, measured_bytes
 
 #: Cells a value range is cut into at each refinement, as a power of two.
 FAN_BITS = 10
-#: Ways in which a cell's rows are spread when a refinement joins them with the wanted cells.
+#: Ways in which a cell's counts are spread when a refinement joins them with the wanted cells.
 SALTS = 16
 
 
-def keyed_quantiles(df: DataFrame, key: str, value: str, probs: list[float], fan_bits: int = FAN_BITS) -> DataFrame:
+def keyed_quantiles(df: DataFrame, key: str, value: str, probs: list[float], fan_bits: int = FAN_BITS, least_share: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per key (null is a key): ``key``, n_rows, n_values and quantiles, an array of longs in the order of ``probs``.
 
     Quantile p is the least value v such that at least p * n_values of the key's non-null values are <= v (p=0: the least value). A key without
-    values has n_values 0 and null quantiles. An empty table gives no rows.
+    values has n_values 0 and null quantiles. An empty table gives no rows. Only keys below ``least_share`` of all rows are left out, and cost no refinement.
+
+    A refinement counts the rows of the wanted cells where they are read, if the list of these cells is small enough to be broadcast; else it counts all sub-cells map-side and
+    joins the counts. No row is shuffled as such, so a value that a hot key repeats is one count a task.
     """
     base = df.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v"))
     low, high = base.agg(F.min("v"), F.max("v")).first()
@@ -40,16 +43,25 @@ def keyed_quantiles(df: DataFrame, key: str, value: str, probs: list[float], fan
     )
     keys = cells.withColumn("w", wanted).groupBy("k").agg(F.first("n_rows").alias("n_rows"), F.first("n_values").alias("n_values"), F.flatten(F.collect_list(F.when(F.size("w") > 0, F.col("w")))).alias("w"))
     keys = cut(keys)
+    if least_share:
+        total = keys.agg(F.sum("n_rows")).first()[0] or 0
+        keys = keys.where(F.col("n_rows") >= least_share * total)
     done, open_ = None, _unresolved(keys.select("k", F.explode("w").alias("s")).select("k", "s.*"))
     while shift > 0:
         todo = cut(open_)
         if todo.isEmpty():
             break
         nxt = max(0, shift - fan_bits)
-        targets = todo.select(F.col("k").alias("tk"), F.col("cell").alias("tc")).distinct().withColumn("tsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = base.where("v is not null").withColumn("cell", F.shiftright(offset, shift)).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-        inside = rows.join(targets, rows["k"].eqNullSafe(targets["tk"]) & (rows["cell"] == targets["tc"]) & (rows["salt"] == targets["tsalt"]), "left_semi")
-        fine = inside.groupBy("k", "cell", F.shiftright(offset, nxt).alias("sub")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        targets = todo.select(F.col("k").alias("tk"), F.col("cell").alias("tc")).distinct()
+        rows = base.where("v is not null").select("k", "v", F.shiftright(offset, shift).alias("cell"), F.shiftright(offset, nxt).alias("sub"))
+        small = measured_bytes(targets) <= broadcast_bytes
+        if small:
+            rows = rows.join(F.broadcast(targets), rows["k"].eqNullSafe(targets["tk"]) & (rows["cell"] == targets["tc"]), "left_semi")
+        fine = rows.groupBy("k", "cell", "sub").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        if not small:
+            fine = fine.withColumn("salt", F.pmod(F.col("sub"), F.lit(SALTS)).cast("int"))
+            spread = targets.withColumn("tsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            fine = fine.join(spread, fine["k"].eqNullSafe(spread["tk"]) & (fine["cell"] == spread["tc"]) & (fine["salt"] == spread["tsalt"]), "left_semi").drop("salt")
         cum = Window.partitionBy("k", "cell").orderBy("sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         fine = fine.withColumn("cum", F.sum("n").over(cum))
         t = todo.select(F.col("k").alias("tk"), F.col("cell").alias("tc"), "i", F.col("r").alias("tr"))
@@ -91,10 +103,9 @@ def distinct_members(df: DataFrame, key: str, lists: str) -> DataFrame:
 
 
 def heavy_keys(df: DataFrame, key: str, value: str, share: float = 0.02, probs: list[float] | None = None) -> DataFrame:
-    """Keys, neither null nor empty, that hold at least ``share`` of all rows, with the exact results of ``keyed_quantiles``."""
-    per = keyed_quantiles(df, key, value, probs or [0.5])
-    total = df.count()
-    return per.where(F.col(key).isNotNull() & (F.col(key) != "") & (F.col("n_rows") >= share * total))
+    """Keys, neither null nor empty, that hold at least ``share`` of all rows, with the exact results of ``keyed_quantiles``; null and empty keys count in all rows."""
+    per = keyed_quantiles(df, key, value, probs or [0.5], least_share=share)
+    return per.where(F.col(key).isNotNull() & (F.col(key) != ""))
 
 
 def token_profile(token_stream: DataFrame, postings: DataFrame, probs: list[float] | None = None) -> DataFrame:
