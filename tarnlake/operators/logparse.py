@@ -208,14 +208,25 @@ def _merge_group(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def mine_layouts(lines: DataFrame, column: str, fan: int = 64) -> list[dict]:
-    """The layouts of all lines: [{kind, template, n}]. Templates of partitions are merged ``fan`` at a time, then in one last group a timestamp form."""
+    """The layouts of all lines: [{kind, n, pattern or keys}], the most frequent first. Templates of partitions are merged ``fan`` at a time, then in one last group a timestamp form.
+
+    Templates are classified and equal layouts added up before they come to the driver, which sees one row a layout; templates of continuations stay behind.
+    """
     parts = lines.select(column).mapInPandas(_mine_partition, "block string, template string, n long")
     parts = parts.withColumn("part", (F.spark_partition_id() / fan).cast("int"))
     schema = "block string, template string, n long, part int"
     level = parts.groupBy("block", "part").applyInPandas(_merge_group, schema)
     level = level.withColumn("part", F.lit(0)).groupBy("block", "part").applyInPandas(_merge_group, schema)
-    found = [{"template": json.loads(r["template"]), "n": r["n"]} for r in level.collect()]  # templates only: as many as there are layouts
-    return sorted(found, key=lambda x: (-x["n"], x["template"]))
+    told = level.mapInPandas(_classify_frames, "layout string, n long").groupBy("layout").agg(F.sum("n").alias("n"))
+    found = [{**json.loads(r["layout"]), "n": r["n"]} for r in told.collect()]
+    return sorted(found, key=lambda x: (-x["n"], x.get("pattern") or "", x.get("keys") or []))
+
+
+def _classify_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = classify([{"template": json.loads(t), "n": int(n)} for t, n in zip(frame["template"], frame["n"])])
+        rows = [(json.dumps({k: v for k, v in x.items() if k in ("kind", "pattern", "keys")}, sort_keys=True), x["n"]) for x in found]
+        yield pd.DataFrame(rows, columns=["layout", "n"]).astype({"n": "int64"})
 
 
 def classify(found: list[dict]) -> list[dict]:
@@ -336,11 +347,9 @@ class Parser:
                 return fields
         if line[:1].isspace():
             return None
-        for i, p in enumerate(patterns):
+        for p in patterns:  # in the order of the layouts' weight, whatever was seen before
             m = p.fullmatch(line)
             if m:
-                if i:  # files keep to one layout for long: try it first next time
-                    patterns.insert(0, patterns.pop(i))
                 g = m.groupdict()
                 level = g.get("level") or ""
                 level = LETTERS.get(level, LEVELS.get(level.lower(), "")) if level else ""
@@ -397,7 +406,7 @@ def layouts_of(*sources: tuple[DataFrame, str]) -> list[dict]:
     for df, column in sources:
         one = df.select(F.col(column).alias("line")).where(F.col(column).isNotNull())
         lines = one if lines is None else lines.unionByName(one)
-    return classify(mine_layouts(lines, "line"))
+    return mine_layouts(lines, "line")
 
 
 def log_entries(lines: DataFrame, layouts: list[dict], file: str = "file_name", pos: str = "line_no", line_id: str = "line_id", text: str = "log_vector") -> DataFrame:
