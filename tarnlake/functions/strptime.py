@@ -143,9 +143,35 @@ def instant(match: re.Match, zone_name: str | None, closed_us: int | None) -> in
     return readings(match, zone_name, closed_us)[0]
 
 
+#: A date and time in some order of year, month and day, with or without zone; the order is told by the source, not by the text.
+FREE = re.compile(
+    r"(?:[A-Za-z]{3,9},?\s+)?(?P<a>\d{1,4}|[A-Za-z]{3,9})(?P<x>[-/.\s])\s*(?P<b2>\d{1,2}|[A-Za-z]{3,9}),?(?P=x)\s*(?P<c>\d{4}|\d{1,2})[T:\s]\s*"
+    r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d{1,9}))?)?\s*(?P<p>[AaPp][Mm])?\s*(?P<z>[Zz]\b|[+-]\d{2}:?\d{2})?(?P<Z>[A-Za-z]{2,5})?",
+    re.ASCII,
+)
+ORDERS = ("ymd", "dmy", "mdy")
+
+
+def ordered_fields(match: re.Match, order: str) -> dict | None:
+    """The fields of a FREE date read in an order of ORDERS; None if a part cannot stand where the order puts it."""
+    g = match.groupdict()
+    part = dict(zip(order, (g["a"], g["b2"], g["c"])))
+    year, month, day = part["y"], part["m"], part["d"]
+    if not year.isdigit() or len(year) not in (2, 4) or not day.isdigit() or len(day) > 2 or (month.isdigit() and len(month) > 2):
+        return None
+    fields = {k: g[k] for k in ("H", "M", "S", "f", "p", "z", "Z")}
+    if g["p"] is not None:
+        fields["I"] = g["H"]
+    return fields | {"Y" if len(year) == 4 else "y": year, "m" if month.isdigit() else "b": month, "d": day}
+
+
 def readings(match: re.Match, zone_name: str | None, closed_us: int | None) -> tuple[int | None, int | None, tuple[int, ...]]:
     """What ``instant`` gives, the later instant of the same wall time, and the instants in earlier years of a time without year."""
-    g = match.groupdict()
+    return of_fields(match.groupdict(), zone_name, closed_us)
+
+
+def of_fields(g: dict, zone_name: str | None, closed_us: int | None) -> tuple[int | None, int | None, tuple[int, ...]]:
+    """``readings`` of the fields of a timestamp."""
     if g.get("s") is not None:
         return number_to_us(int(g["s"]), g.get("f")), None, ()
     if g.get("p") is not None:

@@ -3,7 +3,8 @@
 A source is a mixture of components: its declared format, a full date and time with offset, and an epoch number (one component
 per unit). Within the declared format a time may have several readings: the two instants of a repeated wall time, and the years
 of a time without year. How often a source means the later instant or an earlier year is estimated with the weights, from the
-values that have the choice.
+values that have the choice. A value that none of these parses, because its source declares no format or another one, may still be a date and time whose order
+of year, month and day its source tells: the orders are components too, and a source's unambiguous days decide for the others.
 
 A reading that does not parse has likelihood 0. One that does has likelihood 1 per second of its window (2000 to 2049 for all
 components, so the window cancels; the earlier years of a time share theirs), times 1 / (1 + d) for its distance d in minutes from
@@ -12,7 +13,7 @@ comes after that. Both tails are long, for stored times may be another line's.
 
 EM estimates each source's weights from all of its values; the posterior picks the component. The instant given is that of the
 component by the rules of ``strptime.instant`` (earlier instant, latest year), whatever the posterior of its other readings;
-``likely_us`` is the most likely instant. Where the components stay within ``margin`` of each other the declared format holds. Where the
+``likely_us`` is the most likely instant, ``likely_as`` its reading. Where the components stay within ``margin`` of each other the declared format holds. Where the
 instant given does not lead every other by ``margin`` the value is marked ambiguous.
 
 Likelihoods are rounded to powers of two, relative to the value's best, so the statistics of EM are sums per (source, pattern of
@@ -25,7 +26,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +37,17 @@ from ..session import cut, salted_lookup
 
 UNITS = (1, 1_000, 1_000_000, 1_000_000_000)
 #: Weights of a source: declared, iso and an epoch number by unit; and how often its times mean the later instant or an earlier year.
-COMPONENTS = ("declared", "iso", "epoch_s", "epoch_ms", "epoch_us", "epoch_ns")
+COMPONENTS = ("declared", "iso", "epoch_s", "epoch_ms", "epoch_us", "epoch_ns", *S.ORDERS)
 CHOICES = ("later", "year")
-#: Readings of a value, the declared format's first; a rule's reading stands before its rivals.
-READINGS = ("declared", "later", "year", "iso", "epoch")
+#: Readings of a value, the declared format's first; a rule's reading stands before its rivals. Orders are tried where there is no other.
+RULED = ("declared", "later", "year", "iso", "epoch")
+READINGS = (*RULED, *S.ORDERS)
 #: Likelihoods below 2^-LEVELS of the value's best count as that.
 LEVELS = 16
 AFTER_CLOSE = 1 / 1024
 MINUTE, MONTH = 60_000_000, 30 * 86_400_000_000
-SCHEMA = "stamp_id long, file_id long, unit int, i_declared long, i_later long, i_year long, i_iso long, i_epoch long, i_stored long, levels array<int>"
-RESULT = "stamp_id long, file_id long, utc_us long, interpretation string, posterior double, ambiguous boolean, likely_us long"
+SCHEMA = ", ".join(["stamp_id long, file_id long, unit int", *[f"i_{k} long" for k in READINGS], "i_stored long, levels array<int>"])
+RESULT = "stamp_id long, file_id long, utc_us long, interpretation string, posterior double, ambiguous boolean, likely_us long, likely_as string"
 WEIGHTS = ", ".join(["file_id long", *[f"w_{k} double" for k in COMPONENTS + CHOICES]])
 
 
@@ -61,48 +65,63 @@ def levels_of(found: list[float | None]) -> list[int | None]:
     return [None if x is None else min(LEVELS, round(math.log2(best / x))) for x in found]
 
 
+def inferred(text: str, zone: str | None, closed: int | None) -> list[int | None]:
+    """The instants of a text in each order of ORDERS."""
+    m = S.FREE.fullmatch(text)
+    if m is None:
+        return [None] * len(S.ORDERS)
+    fields = [S.ordered_fields(m, o) for o in S.ORDERS]
+    return [S.of_fields(f, zone, closed)[0] if f else None for f in fields]
+
+
 def interpretations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    no_order = [None] * len(S.ORDERS)
     for batch in batches:
         col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        out: dict[str, list] = {k: [] for k in ("unit", "i_declared", "i_later", "i_year", "i_iso", "i_epoch", "i_stored", "levels")}
+        rows = []
         for text, fmt, zone, closed, stored in zip(col["prefix_text"], col["prefix_format"], col["zone_name"], col["closed_us"], col["epoch_ts"]):
             text = text.strip() if text is not None else ""
             declared = later = year = iso = epoch = unit = None
             years: tuple[int, ...] = ()
+            orders = no_order
             stored = S.number_to_us(stored) if stored is not None else None
             if text:
                 pattern = S.compile_format(fmt) if fmt else None
                 if pattern is not None and (m := pattern.fullmatch(text)):
                     declared, later, years = S.readings(m, zone, closed)
-                if m := S.ISO.fullmatch(text):
-                    iso = S.instant(m, zone, closed)
-                if m := S.EPOCH.fullmatch(text):
-                    number = int(m["s"]) if len(m["s"]) <= 20 else 0
-                    epoch = S.number_to_us(number, m["f"])
-                    unit = next((i for i, u in enumerate(UNITS) if S.LOW * u <= number < S.HIGH * u), None)
-            levels = None
-            if (declared is not None) + (iso is not None) + (epoch is not None) > 1 or later is not None or years:
+                if text[0].isdigit():
+                    if text[4:5] == "-" and (m := S.ISO.fullmatch(text)):
+                        iso = S.instant(m, zone, closed)
+                    elif m := S.EPOCH.fullmatch(text):
+                        number = int(m["s"]) if len(m["s"]) <= 20 else 0
+                        epoch = S.number_to_us(number, m["f"])
+                        unit = next((i for i, u in enumerate(UNITS) if S.LOW * u <= number < S.HIGH * u), None)
+                if declared is None and iso is None and epoch is None and ":" in text:
+                    orders = inferred(text, zone, closed)
+            if later is not None or years or orders is not no_order or (declared is not None) + (iso is not None) + (epoch is not None) > 1:
                 each = [likelihood(y, closed, stored) for y in years]
                 year = years[each.index(max(each))] if years else None
-                found = [None if us is None else likelihood(us, closed, stored) for us in (declared, later, year, iso, epoch)]
+                found = [None if us is None else likelihood(us, closed, stored) for us in (declared, later, year, iso, epoch, *orders)]
                 found[2] = sum(each) / len(each) if years else None
                 levels = levels_of(found)
             else:
-                levels = [None if us is None else 0 for us in (declared, later, year, iso, epoch)]
-            for k, v in zip(out, (unit, declared, later, year, iso, epoch, stored, levels)):
-                out[k].append(v)
-        arrays = [batch.column(batch.schema.get_field_index(n)).cast(pa.int64()) for n in ("stamp_id", "file_id")]
+                levels = [None if us is None else 0 for us in (declared, later, year, iso, epoch, *orders)]
+            rows.append((unit, declared, later, year, iso, epoch, *orders, stored, levels))
+        names = ["unit", *[f"i_{k}" for k in READINGS], "i_stored", "levels"]
         kinds = {"unit": pa.int32(), "levels": pa.list_(pa.int32())}
-        yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], ["stamp_id", "file_id", *out])
+        arrays = [batch.column(batch.schema.get_field_index(n)).cast(pa.int64()) for n in ("stamp_id", "file_id")]
+        cols = list(zip(*rows)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, cols)]], ["stamp_id", "file_id", *names])
 
 
 def priors(levels, unit, w: dict) -> list:
     """Weight times likelihood of each reading of READINGS, without regard to a common factor; works on numbers."""
-    declared, later, year, iso, epoch = [0.0 if v is None else 2.0**-v for v in levels]
+    declared, later, year, iso, epoch, *orders = [0.0 if v is None else 2.0**-v for v in levels]
     among = w["later"] if levels[1] is not None else 0.0
     before = w["year"] if levels[2] is not None else 0.0
     of = w["declared"]
-    return [of * (1 - before) * (1 - among) * declared, of * (1 - before) * among * later, of * before * year, w["iso"] * iso, (w[COMPONENTS[2 + unit]] if unit is not None else 0.0) * epoch]
+    ruled = [of * (1 - before) * (1 - among) * declared, of * (1 - before) * among * later, of * before * year, w["iso"] * iso, (w[COMPONENTS[2 + unit]] if unit is not None else 0.0) * epoch]
+    return ruled + [w[o] * x for o, x in zip(S.ORDERS, orders)]
 
 
 def em(patterns: list[tuple[int | None, list, int]], rounds: int) -> dict[str, float]:
@@ -122,6 +141,8 @@ def em(patterns: list[tuple[int | None, list, int]], rounds: int) -> dict[str, f
             share["iso"] += p[3]
             if unit is not None:
                 share[COMPONENTS[2 + unit]] += p[4]
+            for o, x in zip(S.ORDERS, p[len(RULED) :]):
+                share[o] += x
             if levels[1] is not None:
                 taken["later"] += p[1]
                 asked["later"] += p[0] + p[1]
@@ -149,11 +170,16 @@ def fit_weights(counts: DataFrame, rounds: int = 12) -> DataFrame:
     return per.mapInArrow(fit, WEIGHTS)
 
 
-def choose(instants: list[int | None], levels: list[int | None], unit: int | None, w: dict, margin: float) -> tuple[int, str, float, bool, int]:
-    """(instant given, its component, its posterior, ambiguous, most likely instant) of a value with two readings or more."""
+def choose(instants: list[int | None], levels: list[int | None], unit: int | None, stored: int | None, w: dict, margin: float) -> tuple[int | None, str, float, bool, int, str]:
+    """(instant given, its component, its posterior, ambiguous, most likely instant, its reading) of a value with two readings or more, or with readings by order alone."""
     p = priors(levels, unit, w)
     mass = sum(p) or 1.0
     p = [x / mass for x in p]
+    first = lambda us: next(k for k, x in zip(READINGS, instants) if x == us)
+    if all(us is None for us in instants[: len(RULED)]):  # the rules give the stored time; EM tells what the text says
+        ranked = sorted(((x, us) for us, x in zip(instants, p) if us is not None), reverse=True)
+        lead = ranked[0][0] - next((x for x, us in ranked if us != ranked[0][1]), -1.0)
+        return stored, "none" if stored is None else "stored", ranked[0][0], lead < margin, ranked[0][1], first(ranked[0][1])
     options = [(sum(p[:3]), "declared", instants[0]), (p[3], "iso", instants[3]), (p[4], "epoch", instants[4])]
     options = sorted((o for o in options if o[2] is not None), key=lambda o: -o[0])  # ties go to the declared format
     given = options[0]
@@ -166,40 +192,47 @@ def choose(instants: list[int | None], levels: list[int | None], unit: int | Non
         if us is not None:
             by[us] = by.get(us, 0.0) + x
     lead = by[given[2]] - max((x for us, x in by.items() if us != given[2]), default=-1.0)
-    return given[2], given[1], by[given[2]], lead < margin, max(by, key=by.get)
+    likely = max(by, key=by.get)
+    return given[2], given[1], by[given[2]], lead < margin, likely, first(likely)
 
 
 def choices(batches: Iterator[pa.RecordBatch], margin: float) -> Iterator[pa.RecordBatch]:
+    """The result of each value: values with one reading or none all at once, the others one by one."""
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.string())
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    labels = np.array([*READINGS, "stored", "none"], object)
     for batch in batches:
-        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n not in ("stamp_id", "file_id")}
-        weights = list(zip(*[col[f"w_{k}"] for k in COMPONENTS + CHOICES]))
-        rows = []
-        for i, us in enumerate(zip(*[col[f"i_{k}"] for k in READINGS])):
-            valid = [k for k, x in enumerate(us) if x is not None]
-            if len(valid) > 1:
-                rows.append(choose(us, col["levels"][i], col["unit"][i], dict(zip(COMPONENTS + CHOICES, weights[i])), margin))
-            elif valid:
-                rows.append((us[valid[0]], READINGS[valid[0]], 1.0, False, us[valid[0]]))
-            else:
-                stored = col["i_stored"][i]
-                rows.append((stored, "none" if stored is None else "stored", 0.0, False, stored))
-        kinds = (pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int64())
-        arrays = [batch.column(batch.schema.get_field_index(n)) for n in ("stamp_id", "file_id")]
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        yield pa.RecordBatch.from_arrays([*arrays, *[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]], names)
+        at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        each = [at[f"i_{k}"] for k in (*READINGS, "stored")]
+        valid = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in each])
+        us = np.stack([pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in each])
+        n_ruled, n_orders = valid[: len(RULED)].sum(axis=0), valid[len(RULED) : len(READINGS)].sum(axis=0)
+        kind = np.where(valid.any(axis=0), valid.argmax(axis=0), len(READINGS) + 1)
+        given = us[np.minimum(kind, len(READINGS)), np.arange(batch.num_rows)]
+        cols = [given.tolist(), labels[kind].tolist(), (kind < len(READINGS)).astype(float).tolist(), [False] * batch.num_rows, given.tolist(), labels[kind].tolist()]
+        for i in np.flatnonzero(kind == len(READINGS) + 1).tolist():
+            cols[0][i] = cols[4][i] = None
+        hard = np.flatnonzero((n_ruled > 1) | (n_orders > 0)).tolist()
+        if hard:
+            part = batch.take(pa.array(hard)).to_pylist()
+            for i, r in zip(hard, part):
+                w = {k: r[f"w_{k}"] for k in COMPONENTS + CHOICES}
+                for c, v in zip(cols, choose([r[f"i_{k}"] for k in READINGS], r["levels"], r["unit"], r["i_stored"], w, margin)):
+                    c[i] = v
+        yield pa.RecordBatch.from_arrays([at["stamp_id"], at["file_id"], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names)
 
 
 def normalise_instants(stamps: DataFrame, files: DataFrame, margin: float = 0.2, rounds: int = 12) -> DataFrame:
-    """One row per stamp_id: utc_us (null: none), interpretation (declared, iso, epoch, stored or none), posterior, ambiguous, likely_us.
+    """One row per stamp_id: utc_us (null: none), interpretation (declared, iso, epoch, stored or none), posterior, ambiguous, likely_us, likely_as.
 
     The stored epoch_ts gives the instant only where prefix_text gives none. Null texts, formats, zones (UTC), close times and unknown files are
-    allowed; rows with a null stamp_id are left out, repeated rows count once. The posterior is that of the instant given, and likely_us the instant of the
-    highest posterior. A value is ambiguous if its instant does not lead that of every other reading by ``margin``.
+    allowed; rows with a null stamp_id are left out, repeated rows (equal in every column) count once. The posterior is that of the instant given, and likely_us the instant of the
+    highest posterior; for a value that only an order of year, month and day explains the posterior is that of the most likely order. A value is ambiguous if its instant does not lead that of every other reading by ``margin``.
     """
-    stamps = stamps.select("stamp_id", "file_id", "prefix_text", "epoch_ts").where("stamp_id is not null").dropDuplicates(["stamp_id"])
+    stamps = stamps.select("stamp_id", "file_id", "prefix_text", "epoch_ts").where("stamp_id is not null").distinct()
     files = files.where("file_id is not null").select("file_id", "prefix_format", "zone_name", F.unix_micros("closed_at").alias("closed_us")).dropDuplicates(["file_id"])
     joined = salted_lookup(stamps, files, ["file_id"], F.col("stamp_id"))
     parsed = cut(joined.mapInArrow(interpretations, SCHEMA))
     counts = parsed.groupBy("file_id", "unit", "levels").agg(F.count("*").alias("n"))
-    weighted = salted_lookup(parsed, fit_weights(counts, rounds), ["file_id"], F.col("stamp_id"))
+    weighted = salted_lookup(parsed, cut(fit_weights(counts, rounds)), ["file_id"], F.col("stamp_id"))
     return weighted.mapInArrow(lambda batches: choices(batches, margin), RESULT)

@@ -42,7 +42,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 def p7_interpretations(spark: SparkSession, sf: str) -> DataFrame:
     """How the values of each source were read: counts by interpretation and ambiguity."""
     found = instants.normalise_instants(table(spark, sf, "line_stamps"), table(spark, sf, "source_files"))
-    return found.groupBy("file_id", "interpretation", "ambiguous").agg(F.count("*").alias("n_stamps"))
+    return found.groupBy("file_id", "interpretation", "likely_as", "ambiguous").agg(F.count("*").alias("n_stamps"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_token_profile, p5_found, p7_found, p7_interpretations)}

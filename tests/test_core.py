@@ -205,6 +205,13 @@ def test_keyed_quantiles_are_exact(spark, fan_bits):
         values = sorted(v for k, v in rows if k == key and v is not None)
         want = [values[max(1, math.ceil(p * len(values))) - 1] for p in probs] if values else None
         assert got[key]["n_rows"] == sum(k == key for k, _ in rows) and got[key]["quantiles"] == want, key
+    # with the cells joined instead of broadcast, and for heavy keys alone
+    df = spark.createDataFrame(rows, "k string, v long")
+    if fan_bits == 2:
+        joined = {r["k"]: tuple(r) for r in skew.keyed_quantiles(df, "k", "v", [0.5], 9, broadcast_bytes=0).collect()}
+        assert joined == {r["k"]: tuple(r) for r in skew.keyed_quantiles(df, "k", "v", [0.5], 9).collect()}
+        heavy = skew.heavy_keys(df, "k", "v", 50 / len(rows)).collect()
+        assert {r["k"] for r in heavy} == {"hot", "ties"} and {r["k"]: r["quantiles"] for r in heavy}["ties"] == [7]
     assert skew.keyed_quantiles(spark.createDataFrame([], "k string, v long"), "k", "v", probs).count() == 0
 
 
@@ -329,6 +336,26 @@ def test_repeated_wall_times_and_years_are_ambiguous_unless_resolved(spark):
         assert likely is None or got[i]["likely_us"] == likely, i
 
 
+def test_the_order_of_a_date_is_told_by_its_source(spark):
+    """EM decides what neither a declared format nor any fixed precedence can: a source without format whose days tell the order of its other dates."""
+    closed = dt.datetime(2024, 12, 30)
+    files = spark.createDataFrame([(1, None, None, closed), (2, None, "Europe/Berlin", closed), (3, "%Y", None, None), (4, None, None, closed)], "file_id long, prefix_format string, zone_name string, closed_at timestamp")
+    stamps = [(100 + d, 1, f"{d:02d}/07/2024 10:00:00", None) for d in range(1, 29)] + [(200 + d, 2, f"07/{d:02d}/2024 10:00", None) for d in range(1, 29)]
+    stamps += [(1, 1, "03/04/2024 10:00:00", None), (2, 2, "03/04/2024 10:00:00", None), (3, 3, "03/04/2024 10:00:00", None), (4, 1, "03/04/2024 10:00:00", 1_709_546_400)]
+    stamps += [(5, 4, "2024.03.04 10:00:00.25 +02:00", None), (6, 4, "4 Mar 2024 10:00:00 PM", 99), (7, 4, "31/02/2024 10:00:00", None), (8, 4, "12:00", None)]
+    df = spark.createDataFrame(stamps, "stamp_id long, file_id long, prefix_text string, epoch_ts long")
+    got = {r["stamp_id"]: r for r in instants.normalise_instants(df, files).collect()}
+    us = lambda text: round((dt.datetime.fromisoformat(text) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+    assert (got[1]["likely_us"], got[1]["likely_as"], got[1]["ambiguous"], got[1]["utc_us"]) == (us("2024-04-03T10:00:00"), "dmy", False, None)
+    assert (got[2]["likely_us"], got[2]["likely_as"]) == (us("2024-03-04T09:00:00"), "mdy")
+    assert got[3]["ambiguous"] and got[3]["utc_us"] is None  # nothing tells
+    assert (got[4]["utc_us"], got[4]["interpretation"]) == (1_709_546_400_000_000, "stored")  # the rule; what ingest stored speaks for the other order
+    assert got[4]["likely_as"] == "mdy" and got[4]["likely_us"] == us("2024-03-04T10:00:00")
+    assert (got[5]["likely_us"], got[5]["likely_as"]) == (us("2024-03-04T08:00:00.250000"), "ymd")
+    assert (got[6]["likely_us"], got[6]["interpretation"]) == (us("2024-03-04T22:00:00"), "none")
+    assert got[7]["likely_us"] is None and got[8]["likely_us"] is None
+
+
 def test_epoch_units_are_weighed_apart():
     ms, ns = [None, None, None, None, 0], [0, None, None, None, 0]
     w = instants.em([(1, ms, 90), (3, ns, 10)], 12)
