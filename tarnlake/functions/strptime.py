@@ -113,6 +113,17 @@ def wall_offsets(name: str | None, year: int, month: int, day: int, hour: int, m
     return tuple(sorted(set(found), reverse=True))
 
 
+@lru_cache(maxsize=65536)
+def day_offset(name: str | None, year: int, month: int, day: int) -> int | None:
+    """Seconds east of UTC all through a day of the zone; None if its clock is put forward or back on that day or next to it, or the zone is unknown."""
+    z = zone(name)
+    if z is None or year < 2 or year > 9998:
+        return None
+    noon = datetime(year, month, day, 12)
+    found = {(noon + timedelta(hours=h)).replace(tzinfo=z, fold=fold).utcoffset() for h in (-24, -12, 0, 12, 24) for fold in (0, 1)}
+    return int(found.pop().total_seconds()) if len(found) == 1 else None
+
+
 @lru_cache(maxsize=65536)
 def days_of(year: int, month: int, day: int) -> int | None:
     try:
@@ -215,7 +226,8 @@ def of_fields(g: dict, zone_name: str | None, closed_us: int | None) -> tuple[in
             offsets = (ABBREVIATIONS[g["Z"].upper()] * 60,)
         else:
             d = date.fromordinal(days + 719_163)
-            offsets = wall_offsets(zone_name, d.year, d.month, d.day, hour, minute)
+            whole = day_offset(zone_name, d.year, d.month, d.day)
+            offsets = (whole,) if whole is not None else wall_offsets(zone_name, d.year, d.month, d.day, hour, minute)
         return True, [(days * 86_400 + hour * 3_600 + minute * 60 + second - o) * 1_000_000 + micro for o in offsets if o is not None]
 
     if g.get("Y") or g.get("y"):

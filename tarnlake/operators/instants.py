@@ -26,9 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +126,8 @@ def em(patterns: list[tuple[int | None, list, int]], rounds: int) -> dict[str, f
     """The weights of one source from its patterns (unit, levels, n)."""
     w = {k: 1.0 / len(COMPONENTS) for k in COMPONENTS} | {k: 0.5 for k in CHOICES}
     total = float(sum(n for *_, n in patterns))
+    if all(sum(v is not None for v in levels) < 2 for _, levels, _ in patterns):
+        rounds = 1  # nothing to share out: the first round is the last
     for _ in range(rounds):
         share = {k: 0.0 for k in COMPONENTS}
         # One pseudo-count on the declared format: it wins where nothing in the data speaks against it. One on each side of a choice.
@@ -197,29 +197,27 @@ def choose(instants: list[int | None], levels: list[int | None], unit: int | Non
 
 
 def choices(batches: Iterator[pa.RecordBatch], margin: float) -> Iterator[pa.RecordBatch]:
-    """The result of each value: values with one reading or none all at once, the others one by one."""
+    """The result of the values that leave something to choose."""
     kinds = (pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.string())
     names = [c.split()[0] for c in RESULT.split(", ")]
-    labels = np.array([*READINGS, "stored", "none"], object)
     for batch in batches:
-        at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        each = [at[f"i_{k}"] for k in (*READINGS, "stored")]
-        valid = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in each])
-        us = np.stack([pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in each])
-        n_ruled, n_orders = valid[: len(RULED)].sum(axis=0), valid[len(RULED) : len(READINGS)].sum(axis=0)
-        kind = np.where(valid.any(axis=0), valid.argmax(axis=0), len(READINGS) + 1)
-        given = us[np.minimum(kind, len(READINGS)), np.arange(batch.num_rows)]
-        cols = [given.tolist(), labels[kind].tolist(), (kind < len(READINGS)).astype(float).tolist(), [False] * batch.num_rows, given.tolist(), labels[kind].tolist()]
-        for i in np.flatnonzero(kind == len(READINGS) + 1).tolist():
-            cols[0][i] = cols[4][i] = None
-        hard = np.flatnonzero((n_ruled > 1) | (n_orders > 0)).tolist()
-        if hard:
-            part = batch.take(pa.array(hard)).to_pylist()
-            for i, r in zip(hard, part):
-                w = {k: r[f"w_{k}"] for k in COMPONENTS + CHOICES}
-                for c, v in zip(cols, choose([r[f"i_{k}"] for k in READINGS], r["levels"], r["unit"], r["i_stored"], w, margin)):
-                    c[i] = v
-        yield pa.RecordBatch.from_arrays([at["stamp_id"], at["file_id"], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names)
+        rows = []
+        for r in batch.to_pylist():
+            w = {k: r[f"w_{k}"] for k in COMPONENTS + CHOICES}
+            rows.append(choose([r[f"i_{k}"] for k in READINGS], r["levels"], r["unit"], r["i_stored"], w, margin))
+        ids = [batch.column(batch.schema.get_field_index(n)) for n in ("stamp_id", "file_id")]
+        cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c, t) for c, t in zip(cols, kinds)]], names)
+
+
+def settled(parsed: DataFrame) -> DataFrame:
+    """The result of the values with one reading or none, for which the weights do not matter."""
+    us = F.coalesce(*[F.col(f"i_{k}") for k in ("declared", "iso", "epoch", "stored")])
+    name = F.lit("none")
+    for k in ("stored", "epoch", "iso", "declared"):
+        name = F.when(F.col(f"i_{k}").isNotNull(), F.lit(k)).otherwise(name)
+    sure = F.when(F.coalesce("i_declared", "i_iso", "i_epoch").isNotNull(), 1.0).otherwise(0.0)
+    return parsed.select("stamp_id", "file_id", us.alias("utc_us"), name.alias("interpretation"), sure.alias("posterior"), F.lit(False).alias("ambiguous"), us.alias("likely_us"), name.alias("likely_as"))
 
 
 def normalise_instants(stamps: DataFrame, files: DataFrame, margin: float = 0.2, rounds: int = 12) -> DataFrame:
@@ -234,5 +232,7 @@ def normalise_instants(stamps: DataFrame, files: DataFrame, margin: float = 0.2,
     joined = salted_lookup(stamps, files, ["file_id"], F.col("stamp_id"))
     parsed = cut(joined.mapInArrow(interpretations, SCHEMA))
     counts = parsed.groupBy("file_id", "unit", "levels").agg(F.count("*").alias("n"))
-    weighted = salted_lookup(parsed, cut(fit_weights(counts, rounds)), ["file_id"], F.col("stamp_id"))
-    return weighted.mapInArrow(lambda batches: choices(batches, margin), RESULT)
+    open_ = F.size(F.array_compact("levels")) > 1
+    open_ = open_ | F.coalesce(*[f"i_{o}" for o in S.ORDERS]).isNotNull()
+    weighted = salted_lookup(parsed.where(open_), cut(fit_weights(counts, rounds)), ["file_id"], F.col("stamp_id"))
+    return settled(parsed.where(~open_)).unionByName(weighted.mapInArrow(lambda batches: choices(batches, margin), RESULT))
