@@ -26,9 +26,9 @@ def tokenize(log: Column) -> Column:
 def inverted_index(lines: DataFrame, log: str = "log", rg: str = "rg", segment: int = SEGMENT) -> DataFrame:
     """(type, token, segment, row_groups): distinct ascending row groups of every token, in segments of ``segment`` row groups.
 
-    Tokens of a line are made distinct in its row, then per (token, row group), so a token in a third of all lines is spread; no list is longer than a segment.
+    Tokens are made distinct per (token, row group), map-side first, so a token in a third of all lines is spread; no list is longer than a segment.
     """
-    pairs = lines.select(F.col(rg).cast("long").alias("rg"), F.explode(F.array_distinct(tokenize(F.col(log)))).alias("token")).distinct()
+    pairs = lines.select(F.col(rg).cast("long").alias("rg"), F.explode(tokenize(F.col(log))).alias("token")).distinct()
     index = pairs.groupBy("token", F.expr(f"rg div {segment}").alias("segment")).agg(F.array_sort(F.collect_list("rg")).alias("row_groups"))
     return index.select(type_mask(F.col("token")).alias("type"), "token", "segment", "row_groups")
 
@@ -40,10 +40,11 @@ def gram_index(lines: DataFrame, keys: list[str], log: str = "log", rg: str = "r
     ``share`` of the row groups of its keys has no list: it rules out nothing. A list is as long as its split has row groups, whatever the number of splits.
     Null lines have no tokens.
     """
-    pairs = lines.select(*keys, F.col(rg).alias("rg"), F.explode(F.array_distinct(tokenize(F.col(log)))).alias("token")).distinct()
+    pairs = lines.select(*keys, F.col(rg).alias("rg"), F.explode(tokenize(F.col(log))).alias("token")).distinct()
     framed = F.concat(F.lit(FRAME), F.col("token"), F.lit(FRAME))
-    starts = F.sequence(F.lit(1), F.length(framed) - (LEAST - 1))
-    grams = pairs.select(*keys, "rg", F.explode(F.array_distinct(F.transform(starts, lambda i: framed.substr(i, F.lit(GRAM))))).alias("gram")).distinct()
+    # One pass over a token of any length: at each place, the characters that follow.
+    suffixes = F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{LEAST},{GRAM}}}))"), F.lit(1))
+    grams = pairs.select(*keys, "rg", F.explode(suffixes).alias("gram")).distinct()
     total = lines.groupBy(*keys).agg(F.count_distinct(rg).alias("__n"))  # one row a split
     lists = grams.groupBy(*keys, "gram").agg(F.count("*").alias("__c"), F.array_sort(F.collect_list("rg")).alias("row_groups"))
     listed = lists.join(total, keys).withColumn("row_groups", F.when(F.col("__c") <= share * F.col("__n"), F.col("row_groups")))

@@ -15,11 +15,13 @@ BROADCAST_BYTES = 8 << 20
 SPREAD_BYTES = 32 << 20
 
 
-def build_session(app: str = "tarnlake", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "tarnlake", master: str | None = None, partitions: int | None = None, memory: str | None = None) -> SparkSession:
     """A session with the settings every operator assumes (UTC, AQE with skew splitting)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return (
