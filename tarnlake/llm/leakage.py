@@ -2,15 +2,18 @@
 
 A seed is a mask over consecutive words that ignores some positions, so a passage with a few substituted words still hits. The hashes of every item's
 windows under each mask are joined with the hashes of every document's windows; around each hit the diagonal is compared word by word, in a window.
-TOLERANT masks are a lossless family: whichever WINDOW - MIN_WORDS words of WINDOW are substituted, one of the masks fits between them (a test tries
-all of these patterns). So a passage with MIN_WORDS equal words within WINDOW is always found.
+TOLERANT masks are a lossless family: whichever WINDOW - MIN_WORDS words of WINDOW are substituted, the masks still fit between them, and how often at least is
+counted over all of these patterns. So a passage with MIN_WORDS equal words within WINDOW is always found, and a diagonal with fewer hits is none.
 The corpus is scanned once, whatever the number of items, and never shuffled; the items' tables are built once, in blocks, and broadcast.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,8 @@ WORD = re.compile(r"[^\W_]+")
 MASKS = ("110110101101", "101101110011")
 #: Words of a diagonal in which MIN_WORDS equal ones make a passage with substitutions.
 WINDOW = 18
-#: Every way to substitute 6 of 18 words leaves a place for one of these.
-TOLERANT = ("10111", "1100101", "1111", "11011")
+#: Every way to substitute 6 of 18 words leaves at least ten places for these (``least_hits``), so diagonals with less need no comparison.
+TOLERANT = ("11", "101")
 #: Consecutive equal words that make a passage.
 MIN_WORDS = 12
 #: Items are indexed in blocks of at most this many words.
@@ -98,7 +101,21 @@ def best_window(same: np.ndarray, width: int) -> tuple[int, int]:
     return int(held[i]), i
 
 
-def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: int | None = None, window: int = WINDOW) -> list[tuple[int, int, int, int, int, int]]:
+@lru_cache(maxsize=16)
+def least_hits(masks: tuple[str, ...], matched: int, window: int) -> int:
+    """Hits, over all masks, that a diagonal has at least if ``matched`` of ``window`` words are equal: every pattern is tried. 1 where there are too many to try or masks that miss one."""
+    if not 0 < matched <= window or math.comb(window, matched) > 200_000:
+        return 1
+    patterns = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(window), matched)], np.int64)
+    hits = np.zeros(len(patterns), np.int64)
+    for m in masks:
+        bits = sum(1 << i for i, c in enumerate(m) if c == "1")
+        for o in range(window - len(m) + 1):
+            hits += (patterns & (bits << o)) == (bits << o)
+    return max(1, int(hits.min()))
+
+
+def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: int | None = None, window: int = WINDOW, least: int = 1) -> list[tuple[int, int, int, int, int, int]]:
     """Per item hit in one document: (item, longest equal run, equal words of the best window, words of that window, where it begins in the document and in the item).
 
     Of the diagonals that have a long enough run or a window with enough equal words, each by itself, the one with the longest run. Without ``min_matched`` the place is that of the run.
@@ -131,7 +148,12 @@ def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: in
     if not diagonals:
         return []
     # One comparison a (item, diagonal): all hits on it lie in the same overlap of document and item.
-    diagonals = np.unique(np.concatenate(diagonals), axis=0)
+    found = np.concatenate(diagonals)
+    keys = np.sort((found[:, 0] << 40) + found[:, 1] + (1 << 39))
+    if least > 1:  # a diagonal with too few hits cannot hold what is asked for
+        keys = keys[least - 1 :][keys[least - 1 :] == keys[: len(keys) - least + 1]]
+    keys = np.unique(keys)
+    diagonals = np.stack([keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 39)], axis=1)
     best: dict[int, tuple] = {}
     total = len(index.stream)
     for k, d in diagonals.tolist():
@@ -170,7 +192,8 @@ def passages(documents: DataFrame, items: DataFrame, doc_id: str, text: str, ite
     shared = [documents.sparkSession.sparkContext.broadcast(SeedIndex(block, masks)) for block in item_blocks(known, block_words)]
     if not shared:
         return documents.sparkSession.createDataFrame([], SCHEMA)
-    return spread(docs).mapInArrow(_searcher(shared, min_run, min_matched, window), SCHEMA)
+    least = 1 if min_matched is None else min(least_hits(masks, min_matched, window), least_hits(masks, min_run, min_run))
+    return spread(docs).mapInArrow(_searcher(shared, min_run, min_matched, window, least), SCHEMA)
 
 
 def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -187,14 +210,14 @@ def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield block
 
 
-def _searcher(shared: list, min_run: int, min_matched: int | None, window: int):
+def _searcher(shared: list, min_run: int, min_matched: int | None, window: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words_of(text)
                 for block in shared:
-                    rows += [(doc, *row) for row in _overlaps(block.value, block.value.encode(found), min_run, min_matched, window)]
+                    rows += [(doc, *row) for row in _overlaps(block.value, block.value.encode(found), min_run, min_matched, window, least)]
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)
 
