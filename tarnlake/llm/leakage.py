@@ -150,6 +150,8 @@ def _overlaps(index: SeedIndex, words: np.ndarray, min_run: int, min_matched: in
     # One comparison a (item, diagonal): all hits on it lie in the same overlap of document and item.
     found = np.concatenate(diagonals)
     keys = np.sort((found[:, 0] << 40) + found[:, 1] + (1 << 39))
+    if len(keys) < least:
+        return []
     if least > 1:  # a diagonal with too few hits cannot hold what is asked for
         keys = keys[least - 1 :][keys[least - 1 :] == keys[: len(keys) - least + 1]]
     keys = np.unique(keys)
