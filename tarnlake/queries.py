@@ -638,4 +638,7 @@ def regex_tree(spark, sf):
 
 
 ORACLES["regex_literals"] = """select * from (values ('abc', 'abc'), ('a*bc', 'bc'), ('x(yz)w', 'xyzw'), ('(a|b)cd', 'cd'), ('a.b', ''), ('fo*bar', 'f|bar'), ('(ab)*', '')) t(pattern, literals)"""
-
+ORACLES["regex_tree"] = """select * from (values
+    ('a*b*c', '{"kind": "concat", "children": [{"kind": "star", "children": [{"kind": "char", "text": "a"}]}, {"kind": "star", "children": [{"kind": "char", "text": "b"}]}, {"kind": "char", "text": "c"}]}'),
+    ('(a|b)c', '{"kind": "concat", "children": [{"kind": "union", "children": [{"kind": "char", "text": "a"}, {"kind": "char", "text": "b"}]}, {"kind": "char", "text": "c"}]}'),
+    ('ab*', '{"kind": "concat", "children": [{"kind": "char", "text": "a"}, {"kind": "star", "children": [{"kind": "char", "text": "b"}]}]}')) t(pattern, tree)"""
